@@ -26,7 +26,7 @@ ORDER, START, STOP = 4, "\x02\x02\x02", "\x03"
 #: Bound on the distinct 4-grams of all languages in a model (16 bytes each); beyond it the rarest are left out.
 MAX_GRAMS = 1 << 21
 #: Distinct words that a task holds before it turns them into n-gram counts, and rows that the rejection cut is set on.
-HELD_WORDS, CALIBRATION_ROWS, MARGIN, SHARPNESS = 400_000, 2048, 0.35, 40
+HELD_WORDS, CALIBRATION_ROWS, MARGIN, SHARPNESS = 400_000, 2048, 0.75, 40
 #: Bytes of text that are scored at once.
 SLICE = 4 << 20
 MASK = [0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF]

@@ -162,7 +162,10 @@ def digests(docs: DataFrame) -> DataFrame:
         own = found if kinds is None else F.filter(found, lambda s: s["kind"].isin(*kinds))
         return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(found, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    def count(kind: str):
+        return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in BASE]
     return detect(docs).select("doc_id", *counts, F.sha2(text(BASE), 256).alias("base_sha256"), text(None).alias("spans"))
 
 

@@ -1,6 +1,6 @@
 """Quality rules: counts of a text's words, lines and repeats, judged by fixed bounds and an isolation forest.
 
-The forest is grown on the rule statistics of labelled good rows (a bounded, hash-ordered sample) and its threshold is
+The forest is grown on the rule statistics of labelled good rows that pass the bounds (a bounded, hash-ordered sample) and its threshold is
 set on labelled rows; documents with short average path lengths are anomalous and are not kept. Null texts count as
 empty: no words, so base_failed. Repeated rows are judged one by one. Without labelled rows of both kinds, no document is called anomalous.
 """
@@ -98,44 +98,37 @@ class Forest:
         return 2.0 ** (-total / max(len(self.feature), 1) / self.norm)
 
 
-def grow(x: np.ndarray, trees: int = TREES, psi: int = LEAF_SAMPLE, seed: int = SEED) -> Forest:
+def grow(good: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int = TREES, psi: int = LEAF_SAMPLE, seed: int = SEED) -> Forest:
+    """Random splits of the box of all labelled rows over samples of good ones.
+
+    Cuts are drawn from a node's part of the box, not from the range of its rows, so that statistics which are constant among good rows
+    still cut off what strays from them; a part without rows ends at once.
+    """
     rng = np.random.default_rng(seed)
-    psi = min(psi, len(x))
-    depth = int(np.ceil(np.log2(max(psi, 2)))) + 2
-    size = 2 * psi + 1
-    a = [np.full((trees, size), v, k) for v, k in ((-1, np.int64), (0, float), (0, np.int64), (0, np.int64), (0, float))]
-    feature, cut, left, right, length = a
-    for t in range(trees):
-        todo, used = [(0, rng.choice(len(x), psi, replace=False), 0)], 1
+    psi = min(psi, len(good))
+    depth = int(np.ceil(np.log2(max(psi, 2)))) + 4
+    grown = []
+    for _ in range(trees):
+        nodes: list[list] = [[-1, 0.0, 0, 0, 0.0]]
+        todo = [(0, rng.choice(len(good), psi, replace=False), 0, *box)]
         while todo:
-            node, rows, d = todo.pop()
-            low, high = x[rows].min(0), x[rows].max(0)
+            node, rows, d, low, high = todo.pop()
             wide = np.flatnonzero(high > low)
             if d >= depth or len(rows) <= 1 or not len(wide):
-                length[t, node] = d + float(_c(len(rows)))
+                nodes[node][4] = d + float(_c(len(rows)))
                 continue
             f = rng.choice(wide)
-            # A margin beyond the range lets unseen values fall off early.
-            pad = 0.5 * (high[f] - low[f])
-            at = rng.uniform(low[f] - pad * (d == 0), high[f] + pad * (d == 0))
-            side = x[rows, f] < at
-            feature[t, node], cut[t, node], left[t, node], right[t, node] = f, at, used, used + 1
-            if side.all() or not side.any():
-                empty, full = (used + 1, used) if side.all() else (used, used + 1)
-                length[t, empty] = d + 1
-                todo.append((full, rows, d + 1))
-                used += 2
-                if used + 2 > size:
-                    todo.pop()
-                    length[t, full] = d + 1 + float(_c(len(rows)))
-                continue
-            todo += [(used, rows[side], d + 1), (used + 1, rows[~side], d + 1)]
-            used += 2
-            if used + 2 > size:
-                for n, r, e in todo:
-                    length[t, n] = e + float(_c(len(r)))
-                break
-    return Forest(feature, cut, left, right, length, max(float(_c(psi)), 1e-9))
+            at = rng.uniform(low[f], high[f])
+            side = good[rows, f] < at
+            nodes[node][:4] = [f, at, len(nodes), len(nodes) + 1]
+            upper, lower = high.copy(), low.copy()
+            upper[f] = lower[f] = at
+            todo += [(len(nodes), rows[side], d + 1, low, upper), (len(nodes) + 1, rows[~side], d + 1, lower, high)]
+            nodes += [[-1, 0.0, 0, 0, 0.0], [-1, 0.0, 0, 0, 0.0]]
+        grown.append(nodes)
+    size = max(map(len, grown))
+    table = np.array([t + [[-1, 0.0, 0, 0, 0.0]] * (size - len(t)) for t in grown])
+    return Forest(table[:, :, 0].astype(int), table[:, :, 1], table[:, :, 2].astype(int), table[:, :, 3].astype(int), table[:, :, 4], max(float(_c(psi)), 1e-9))
 
 
 def calibrate(score: np.ndarray, good: np.ndarray, keep: float = 0.995) -> float:
@@ -169,18 +162,23 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return one.mapInArrow(run, SCHEMA.format(id=one.schema["id"].dataType.simpleString()))
 
 
+def failed(n_words, n_repeat_words):
+    """The fixed bounds: too few words, or over a fifth of them inside repeated windows."""
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Forest | None:
     """Forest and threshold from at most ``limit`` labelled rows."""
     sample = labelled_sample(labels, "doc_id", "quality", limit)
     joined = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_sample_id"]).select("_sample_id", "text", "_label")
-    rows = statistics(joined, "_sample_id").join(F.broadcast(sample), F.col("id") == F.col("_sample_id")).select("id", "x", "_label").toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
+    rows = statistics(joined, "_sample_id").join(F.broadcast(sample), F.col("id") == F.col("_sample_id")).select("id", "n_words", "n_repeat_words", "x", "_label").toPandas()
+    rows = rows[~failed(rows["n_words"], rows["n_repeat_words"])].drop_duplicates("id").sort_values("id")
     if rows.empty:
         return None
     x, good = np.stack(rows["x"].to_numpy()), rows["_label"].to_numpy() > 0
     if not good.any() or good.all():
         return None
-    forest = grow(x[good])
+    forest = grow(x[good], (x.min(0), x.max(0)))
     forest.threshold = calibrate(forest.score(x), good)
     return forest
 
@@ -196,10 +194,10 @@ def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_c
         for b in batches:
             n, repeats = (b[c].to_numpy(zero_copy_only=False) for c in ("n_words", "n_repeat_words"))
             x = b["x"].values.to_numpy().reshape(-1, len(FEATURES))[: b.num_rows]
-            failed = (n < 10) | (100 * repeats > 20 * n)
+            bad = failed(n, repeats)
             score = model.score(x) if model is not None and len(x) else np.zeros(len(x))
             odd = score > (model.threshold if model is not None else 2.0)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("id", *COUNTS)), pa.array(failed), pa.array(~failed & ~odd), pa.array(score)], ["id", *COUNTS, "base_failed", "kept", "anomaly"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("id", *COUNTS)), pa.array(bad), pa.array(~bad & ~odd), pa.array(score)], ["id", *COUNTS, "base_failed", "kept", "anomaly"])
 
     fields = f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
     return measured.mapInArrow(run, fields).withColumnRenamed("id", id_col)

@@ -168,8 +168,8 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
 ), d AS (
   SELECT page_id, payload_bytes::BIGINT AS payload_bytes, h,
-    array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-      (((('0x' || substr(h, (10 * (i // 8) + 1)::INT, 10))::BIGINT) >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(h, (10 * (i // 8) + 1)::INT, 10))::BIGINT) >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1) FOR i IN range(32)], '') AS payload_digest
   FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
