@@ -170,7 +170,8 @@ def failed(n_words, n_repeat_words):
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Forest | None:
     """Forest and threshold from at most ``limit`` labelled rows."""
     sample = labelled_sample(labels, "doc_id", "quality", limit)
-    joined = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_sample_id"]).select("_sample_id", "text", "_label")
+    one = docs.select("doc_id", "text")
+    joined = one.join(F.broadcast(sample), one["doc_id"] == sample["_sample_id"]).select("_sample_id", "text")
     rows = statistics(joined, "_sample_id").join(F.broadcast(sample), F.col("id") == F.col("_sample_id")).select("id", "n_words", "n_repeat_words", "x", "_label").toPandas()
     rows = rows[~failed(rows["n_words"], rows["n_repeat_words"])].drop_duplicates("id").sort_values("id")
     if rows.empty:

@@ -42,7 +42,8 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Classifier | None:
     sample = labelled_sample(labels, "doc_id", "quality", limit)
-    joined = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_sample_id"]).select("_sample_id", "text")
+    one = docs.select("doc_id", "text")
+    joined = one.join(F.broadcast(sample), one["doc_id"] == sample["_sample_id"]).select("_sample_id", "text")
     rows = statistics(joined, "_sample_id").join(F.broadcast(sample), F.col("id") == F.col("_sample_id")).select("id", "x", "_label").toPandas()
     rows = rows.drop_duplicates("id").sort_values("id")
     if rows.empty:

@@ -159,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, limit:
     """Arcs and slot weights from at most ``limit`` labelled rows of ``docs`` where ``train`` holds for the label's doc_id."""
     spark = docs.sparkSession
     sample = labelled_sample(labels if train is None else labels.where(train), "doc_id", "toxic", limit)
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_sample_id"]).select("_sample_id", docs["text"].cast("string").alias("text"), "_label")
+    one = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = one.join(F.broadcast(sample), one["doc_id"] == sample["_sample_id"]).select("_sample_id", "text", "_label")
     rows = materialize(spark, rows, "toxicity-sample")
     toxic, clean = rows.where("_label = 1"), rows.where("_label <> 1")
     n1, n0 = toxic.count(), clean.count()
