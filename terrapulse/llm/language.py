@@ -181,7 +181,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=N
     discard(spark, counts)
     model = Model.build({str(k): (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for k, g in table.groupby("lang")})
     if model.languages:
-        sample = rows.orderBy(F.xxhash64("id"), "id").select("text", "lang").limit(CALIBRATION_ROWS).toPandas()
+        # Ids are chosen first, so that no task sends texts that another's smaller hashes push out.
+        chosen = F.broadcast(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS))
+        sample = rows.join(chosen, "id", "left_semi").select("text", "lang").toPandas()
         langs, _, _, low = model.judge(list(sample["text"]))
         ceiling = float(np.log(model.symbols))
         for lang in model.languages:

@@ -7,8 +7,8 @@ register keeps its least point; two signatures agree in a register with the prob
 Generation stops once a process is past every register of its text.
 
 Exact copies are put together first by digest. Texts that share a band are compared with the band's first text; where a band
-then still holds several classes, its texts of different classes are compared too, so that no link between texts that share
-a band is lost, while large groups cost one comparison a text and band. Similarities are computed exactly. Classes are the connected components.
+then still holds several classes, its texts meet peers of small random groups for a few rounds, and what is still apart is compared across
+classes, so that no link between texts that share a band is lost, while a group of copies costs a few comparisons a text and band. Similarities are computed exactly. Classes are the connected components.
 
 Null texts count as empty; empty texts, and texts of white space only where equal, are exact copies of each other and have no near copies. Rows with a
 null doc_id belong to no class (null class_id, kept). Repeated rows of a doc_id share its class and appear once.
@@ -30,6 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 8 registers: texts of similarity 0.8 share a band with probability 0.997, of 0.5 with 0.12.
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
+#: Rounds in which texts of a mixed band meet a peer of a random group of about so many, before all classes meet.
+PEER_ROUNDS, PEERS = 3, 16
 SLICE = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
@@ -63,7 +65,7 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mix = np.zeros(len(words), np.uint64)
     for k in range(SHINGLE):
         part = np.zeros(len(words), np.uint64)
-        part[: len(words) - k] = words[k:]
+        part[: max(len(words) - k, 0)] = words[k:]
         # Words beyond the text count as none: only texts shorter than a shingle have such.
         part[np.arange(len(words)) + k >= (first + sizes)[row]] = 0
         mix = splitmix(mix * np.uint64(_BASE) + part + np.uint64(k))
@@ -200,24 +202,40 @@ def link(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = materialize(spark, members, "copies")
     firsts = members.where("id = text_id").select("id")
     signed = band_keys(one).join(firsts, "id").dropDuplicates(["id"])
-    banded = materialize(spark, signed.select("id", F.explode("keys").alias("band")), "bands")
+    banded = materialize(spark, signed.select("id", "n", F.explode("keys").alias("band")), "bands")
     leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("band", "leader")
     shared = materialize(spark, banded.join(leaders, "band"), "shared-bands")
     discard(spark, banded)
     pairs = materialize(spark, shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialize(spark, one.join(involved, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-    star = materialize(spark, verified(pairs, texts, least), "star-links")
-    labels = components(star)
-    # Bands that still hold several classes: compare across classes.
-    placed = shared.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = materialize(spark, placed.join(mixed, "band", "left_semi"), "mixed-bands")
-    left, right = (rest.select("band", F.col("id").alias(i), F.col("label").alias(f"label_{i}")) for i in "ab")
-    more = left.join(right, "band").where("label_a <> label_b and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    cross = materialize(spark, verified(more, texts, least), "cross-links")
-    if cross.limit(1).count():
-        labels = components(star.union(cross))
+    # The same plan at every size: a side that grows with the corpus isn't left to be broadcast where it happens to be small.
+    texts = materialize(spark, one.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+    links = materialize(spark, verified(pairs, texts, least), "star-links")
+    labels = components(links)
+    for seed in range(PEER_ROUNDS + 1):
+        # Bands that still hold several classes: compare across classes.
+        placed = shared.join(labels, "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
+        mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", "size")
+        rest = materialize(spark, placed.join(mixed, "band"), "mixed-bands")
+        if seed < PEER_ROUNDS:
+            # First with one peer of a small random group each: this joins most of what belongs together.
+            group = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("size") / PEERS))
+            own = rest.select("band", "id", "n", "label", group.alias("group"))
+            peers = own.groupBy("band", "group").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(~seed))).alias("peer"))
+            left, right = own.withColumnRenamed("id", "x"), peers.select("band", "group", F.col("peer.id").alias("y"), F.col("peer.n").alias("m"), F.col("peer.label").alias("other"))
+            met = left.join(right, ["band", "group"])
+        else:
+            # Then with every text of the other classes.
+            right = rest.select("band", F.col("id").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
+            met = rest.withColumnRenamed("id", "x").join(right, "band").where("x < y")
+        # A similarity is at most the ratio of the sizes.
+        near = met.where((F.col("label") != F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
+        more = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = materialize(spark, verified(more, texts, least), "cross-links")
+        discard(spark, rest)
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = components(links)
     out = members.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left")
     out = out.select(F.col("id").alias("doc_id"), "text_id", F.coalesce("label", "text_id").alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -15,7 +15,7 @@ from terrapulse.plans import catalog
 from terrapulse.sources import files
 from terrapulse.sources.tables import observations
 from terrapulse.streaming import incremental
-from tests.test_kernel import FIXTURES, golden, synthetic
+from tests.test_kernel import GOLDEN, golden, synthetic
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,16 +58,16 @@ def test_rows(spark, name):
 
 @golden
 def test_csv_to_wide_csv(spark, tmp_path):
-    obs = files.read_observations(spark, f"{FIXTURES}/procedure/test_3657_3610_observations.csv")
+    obs = files.read_observations(spark, GOLDEN["observations"])
     out = detection.detect_changes(obs)
     files.write_models(out, str(tmp_path / "models"))
     got = files.read_models(spark, str(tmp_path / "models")).drop("pixel_id").toPandas().sort_values("start_day").reset_index(drop=True)
-    want = files.read_models(spark, f"{FIXTURES}/procedure/standard_reference.csv").toPandas()
+    want = files.read_models(spark, GOLDEN["models_standard"]).toPandas()
     assert got.shape == (5, 76)
     for c in want.columns:
         assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1e-6), c
     mask = out.select(F.explode("processing_mask")).agg(F.sum("col")).first()[0]
-    assert mask == files.read_mask(spark, f"{FIXTURES}/procedure/standard_mask_reference.csv").agg(F.sum("mask")).first()[0]
+    assert mask == files.read_mask(spark, GOLDEN["mask_standard"]).agg(F.sum("mask")).first()[0]
 
 
 def _obs(spark, series):
