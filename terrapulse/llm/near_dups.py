@@ -6,9 +6,11 @@ of weights, whose points carry a position in the block and a register, so that a
 register keeps its least point; two signatures agree in a register with the probability of their weighted Jaccard similarity.
 Generation stops once a process is past every register of its text.
 
-Exact copies are put together first by digest. Texts that share a band are compared with the band's first text; where a band
-then still holds several classes, its texts meet peers of small random groups for a few rounds, and what is still apart is compared across
-classes, so that no link between texts that share a band is lost, while a group of copies costs a few comparisons a text and band. Similarities are computed exactly. Classes are the connected components.
+Exact copies are put together first by digest. Texts that share a band are compared with the band's first text, its leader. Where
+the texts of a leader then still lie in several classes, those of different classes meet by a prefix filter over their differences from
+the leader: two texts of the least similarity differ in so few elements that they share most of what sets them apart from it, so
+each meets only texts that share one of the rarest such elements. No link between texts that share a leader is lost, and
+a large group of copies costs a comparison a text and band. Similarities are computed exactly. Classes are the connected components.
 
 Null texts count as empty; empty texts, and texts of white space only where equal, are exact copies of each other and have no near copies. Rows with a
 null doc_id belong to no class (null class_id, kept). Repeated rows of a doc_id share its class and appear once.
@@ -30,8 +32,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 8 registers: texts of similarity 0.8 share a band with probability 0.997, of 0.5 with 0.12.
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
-#: Rounds in which texts of a mixed band meet a peer of a random group of about so many, before all classes meet.
-PEER_ROUNDS, PEERS = 3, 16
 SLICE = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
@@ -169,6 +169,69 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each pair of a leader a and a text b: n and m (shingles of b and a), and the elements that only one of them has.
+
+    An element is a shingle with its place among equal shingles, so that sets of elements stand for multisets of shingles.
+    """
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+
+    def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        shingle, count = bag
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return splitmix(np.repeat(shingle, count) + place.astype(np.uint64) * np.uint64(_BASE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch["text_b"], SLICE):
+                part = batch.slice(i, j - i)
+                ids = part["a"].to_numpy()
+                firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                group = np.cumsum(np.append(False, ids[1:] != ids[:-1]))
+                a, b = [elements(x) for x in bags(part["text_a"].take(pa.array(firsts)))], [elements(x) for x in bags(part["text_b"])]
+                apart = [np.setxor1d(a[g], y).view(np.int64) for g, y in zip(group, b)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, apart)]), pa.int32()), pa.array(np.concatenate(apart)))
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array([len(y) for y in b], pa.int64()), pa.array([len(a[g]) for g in group], pa.int64()), lists], ["a", "b", "n", "m", "elements"])
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n long, m long, elements array<bigint>")
+
+
+def across(star: DataFrame, texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of texts that share a leader, lie in different classes and may reach ``least``: none that does is left out.
+
+    Texts of n and n' elements reach ``least`` if at most delta = (n + n') (1 - least) / (1 + least) elements are in one of them only. With d and d' elements
+    that are in the text or its leader only, they share at least (d + d' - delta) / 2 of those. In any common order, here from the rarest on, one
+    of these is then among the first (d - d' + delta) / 2 + 1 of the one text and the first (d' - d + delta) / 2 + 1 of the other. One text of such a pair isn't linked
+    to the leader, as both would be of its class otherwise; so d' > (n' + m) (1 - least) / (1 + least) there, which bounds the first number from above.
+    """
+    spark, rate = star.sparkSession, (1 - least) / (1 + least)
+    of = labels.select(F.col("id").alias("b"), F.col("label"))
+    placed = star.join(of, "b", "left").select("a", "b", (F.col("similarity") >= least).alias("linked"), F.coalesce("label", "b").alias("label"))
+    heads = labels.select(F.col("id").alias("a"), F.col("label").alias("head"))
+    sides = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(heads, "a", "left")
+    mixed = sides.where("low <> high or low <> coalesce(head, a)").select("a")
+    placed = materialize(spark, placed.join(mixed, "a", "left_semi"), "mixed-groups")
+    apart = materialize(spark, differences(placed.select("a", "b"), texts), "differences")
+    rows = apart.select("a", "b", F.explode("elements").alias("e"))
+    counts = rows.groupBy("a", "e").agg(F.count("*").alias("times"))
+    # An element of one text alone takes a place in that text's order, but nothing meets there.
+    ranked = rows.join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("order"))
+    ranked = ranked.join(apart.select("a", "b", "n", "m"), ["a", "b"]).join(placed, ["a", "b"]).withColumn("d", F.size("order"))
+    near = F.floor((F.col("d") + (F.col("n") - F.col("m")) * rate) / 2 + 1e-6) + 1
+    far = F.floor(F.col("n") * (1 + 1 / least) * rate + 1e-6) + 1
+    kept = ranked.select("a", "b", "n", "d", "linked", "label", near.alias("near"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.when(F.col("linked"), F.least(near, far)).otherwise(far)).cast("int"))).alias("place", "x"))
+    kept = materialize(spark, kept.where("x.times > 1").select("a", "b", "n", "d", "linked", "label", "near", "place", F.col("x.e").alias("e")), "rare-differences")
+    left = kept.where("not linked").select("a", "e", *(F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "label", "near", "place")))
+    right = kept.where("place < near").select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "label", "linked", "place")))
+    delta = (F.col("x_n") + F.col("y_n")) * rate + 1e-6
+    sizes = F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n")
+    places = (2 * F.col("x_place") <= F.col("x_d") - F.col("y_d") + delta) & (2 * F.col("y_place") <= F.col("y_d") - F.col("x_d") + delta)
+    once = F.col("y_linked") | (F.col("x_b") < F.col("y_b")) & (F.col("x_place") < F.col("x_near"))
+    met = left.join(right, ["a", "e"]).where((F.col("x_label") != F.col("y_label")) & sizes & places & once)
+    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """id, label (least id of the component) for every id in ``edges`` (a, b): least neighbours with pointer jumping.
 
@@ -202,40 +265,19 @@ def link(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = materialize(spark, members, "copies")
     firsts = members.where("id = text_id").select("id")
     signed = band_keys(one).join(firsts, "id").dropDuplicates(["id"])
-    banded = materialize(spark, signed.select("id", "n", F.explode("keys").alias("band")), "bands")
+    banded = materialize(spark, signed.select("id", F.explode("keys").alias("band")), "bands")
     leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("band", "leader")
-    shared = materialize(spark, banded.join(leaders, "band"), "shared-bands")
+    pairs = materialize(spark, banded.join(leaders, "band").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     discard(spark, banded)
-    pairs = materialize(spark, shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # The same plan at every size: a side that grows with the corpus isn't left to be broadcast where it happens to be small.
     texts = materialize(spark, one.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-    links = materialize(spark, verified(pairs, texts, least), "star-links")
+    star = materialize(spark, verified(pairs, texts, 0.0), "star-links")
+    links = star.where(F.col("similarity") >= least).select("a", "b")
     labels = components(links)
-    for seed in range(PEER_ROUNDS + 1):
-        # Bands that still hold several classes: compare across classes.
-        placed = shared.join(labels, "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
-        mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", "size")
-        rest = materialize(spark, placed.join(mixed, "band"), "mixed-bands")
-        if seed < PEER_ROUNDS:
-            # First with one peer of a small random group each: this joins most of what belongs together.
-            group = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("size") / PEERS))
-            own = rest.select("band", "id", "n", "label", group.alias("group"))
-            peers = own.groupBy("band", "group").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(~seed))).alias("peer"))
-            left, right = own.withColumnRenamed("id", "x"), peers.select("band", "group", F.col("peer.id").alias("y"), F.col("peer.n").alias("m"), F.col("peer.label").alias("other"))
-            met = left.join(right, ["band", "group"])
-        else:
-            # Then with every text of the other classes.
-            right = rest.select("band", F.col("id").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
-            met = rest.withColumnRenamed("id", "x").join(right, "band").where("x < y")
-        # A similarity is at most the ratio of the sizes.
-        near = met.where((F.col("label") != F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
-        more = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = materialize(spark, verified(more, texts, least), "cross-links")
-        discard(spark, rest)
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links)
+    found = materialize(spark, verified(across(star, texts, labels, least), texts, least).select("a", "b"), "cross-links")
+    if found.limit(1).count():
+        labels = components(links.union(found))
     out = members.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left")
     out = out.select(F.col("id").alias("doc_id"), "text_id", F.coalesce("label", "text_id").alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))

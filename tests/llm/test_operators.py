@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrapulse.llm import bpe, decontamination, language, near_dups, pii, quality_rules, quality_sites, queries, toxicity, url_filter, warc
-from terrapulse.llm.common import scratch
+from terrapulse.llm.common import materialize, scratch
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -135,6 +135,34 @@ def test_near_dups_of_one_large_group(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dups.link(df).collect()} == near_dups.brute(texts)
 
 
+def test_near_dups_across_classes_of_a_leader(spark):
+    """No pair of different classes under one leader that reaches the similarity is missing, and few others are met."""
+    rng = random.Random(5)
+    texts = []
+    for family in range(2):
+        base = [f"w{family}x{rng.randrange(5000)}" for _ in range(120)]
+        if family:
+            base[:60] = first[:60]
+        first = base
+        for k in range(90):
+            words = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8])):
+                words[rng.randrange(len(words))] = f"m{rng.randrange(40 if k % 2 else 10**6)}"
+            texts.append(" ".join(words[: rng.randrange(90, 121)] if rng.random() < 0.3 else words))
+    bags = near_dups.bags(pa.array(texts))
+    groups = {a: [b for b in range(len(texts)) if b != a and near_dups.similarity(bags[a], bags[b]) > 0.02] for a in (0, 7, 130)}
+    pairs = spark.createDataFrame([(a, b) for a, group in groups.items() for b in group], "a long, b long")
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    star = materialize(spark, near_dups.verified(pairs, frame, 0.0), "star")
+    labels = near_dups.components(star.where("similarity >= 0.8").select("a", "b"))
+    label = {r["id"]: r["label"] for r in labels.collect()}
+    apart = {(x, y) for group in groups.values() for x in group for y in group if x < y and label.get(x, x) != label.get(y, y)}
+    got = {(r["a"], r["b"]) for r in near_dups.across(star, frame, labels, 0.8).collect()}
+    want = {(x, y) for x, y in apart if near_dups.similarity(bags[x], bags[y]) >= 0.8}
+    assert want and want <= got <= apart
+    assert len(got) < len(apart) / 10
+
+
 def test_near_dups_odd(spark, odd, empty):
     got = near_dups.link(odd).collect()
     assert len(got) == len(ODD) + 1  # one row a doc_id, and one for the null
