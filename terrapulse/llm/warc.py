@@ -119,22 +119,23 @@ def reachable(nodes: DataFrame) -> DataFrame:
     """The rows of ``links`` that the chain from offset 0 of their file reaches, by pointer jumping.
 
     Round r knows the successor 2 ** r records on. What is reached doubles every round: the reached set joins the jumps once, then
-    the jumps join themselves. Rounds end in the shared folder.
+    the jumps join themselves. Rounds end in the shared folder. Both sides of each join grow with the archives, and paths that repeat
+    compress so well that shuffled bytes say little of the size in memory, so no side is left to be broadcast.
     """
     spark = nodes.sparkSession
     jumps = materialize(spark, nodes.select("file", "at", "next"), "warc-jumps")
     reached = materialize(spark, nodes.where("at = 0").select("file", "at"), "warc-reached")
     known = reached.count()
     while True:
-        ahead = reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at")).join(nodes.select("file", "at"), ["file", "at"], "left_semi")
+        ahead = reached.join(jumps.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at")).join(nodes.select("file", "at").hint("merge"), ["file", "at"], "left_semi")
         more = materialize(spark, reached.union(ahead).distinct(), "warc-reached")
         discard(spark, reached)
         reached, before, known = more, known, more.count()
         if known == before:
             discard(spark, jumps)
-            return nodes.join(reached, ["file", "at"], "left_semi")
+            return nodes.join(reached.hint("merge"), ["file", "at"], "left_semi")
         further = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("beyond"))
-        doubled = materialize(spark, jumps.join(further, ["file", "next"]).select("file", "at", F.col("beyond").alias("next")), "warc-jumps")
+        doubled = materialize(spark, jumps.join(further.hint("merge"), ["file", "next"]).select("file", "at", F.col("beyond").alias("next")), "warc-jumps")
         discard(spark, jumps)
         jumps = doubled
 
