@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one per language, kept as sorted arrays.
 
-Counts come from every training row: words of lower-cased letters, padded, cut into character 4-grams that are packed in
-64 bits. Lower orders are continuation counts of the order above. A text gets the language with the lowest cross-entropy a
+Counts come from every training row: words of lower-cased letters, padded, cut into character 4-grams.
+A 4-gram is its context of three characters, packed by 21 bits each, and its last character. Lower orders are continuation counts of the order above. A text gets the language with the lowest cross-entropy a
 character; texts whose best cross-entropy lies beyond a calibrated cut are marked as rejected. Null texts and texts
 without a letter are ``und`` with score 0 and rejected. Ties go to the first language by name. Rows without a language
 aren't trained on; without any training row every text is ``und``. Repeated rows count and are judged one by one.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,32 +23,61 @@ from terrapulse.llm.common import discard, fold, materialize, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, START, STOP = 4, "\x02\x02\x02", "\x03"
-#: Bound on the distinct 4-grams of all languages in a model (16 bytes each); beyond it the rarest are left out.
+#: Bound on the distinct 4-grams of all languages in a model; beyond it the rarest are left out.
 MAX_GRAMS = 1 << 21
 #: Distinct words that a task holds before it turns them into n-gram counts, and rows that the rejection cut is set on.
 HELD_WORDS, CALIBRATION_ROWS, MARGIN, SHARPNESS = 400_000, 2048, 0.75, 40
 #: Bytes of text that are scored at once.
 SLICE = 4 << 20
-MASK = [0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF]
+BITS = np.uint64(21)
+LETTER = np.uint64((1 << 21) - 1)
+MASK = [np.uint64((1 << 21 * n) - 1) for n in range(4)]
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams of padded words in order, and how many each word has."""
-    codes = np.frombuffer("".join([f"{START}{w}{STOP}" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and last characters of the 4-grams of padded words in order, and how many each word has."""
+    codes = np.frombuffer("".join([f"{START}{w}{STOP}" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(codes) < ORDER:
-        return np.zeros(0, np.uint64), np.zeros(len(words), np.int64)
-    keys = codes[3:] | codes[2:-1] << np.uint64(16) | codes[1:-2] << np.uint64(32) | codes[:-3] << np.uint64(48)
-    return keys[codes[3:] != 2], np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(words), np.int64)
+    last = codes[3:]
+    inside = last != 2
+    context = codes[2:-1] | codes[1:-2] << BITS | codes[:-3] << BITS * np.uint64(2)
+    return context[inside], last[inside], np.fromiter(map(len, words), np.int64, len(words)) + 1
 
 
-def tally(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, weights, len(unique)).astype(np.int64)
+def narrow(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """4-grams of the basic plane by 16 bits a character."""
+    a, b, c = context >> np.uint64(42), context >> BITS & LETTER, context & LETTER
+    return a << np.uint64(48) | b << np.uint64(32) | c << np.uint64(16) | last
+
+
+def widen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and last characters of what ``narrow`` packed."""
+    low = np.uint64(0xFFFF)
+    return keys >> np.uint64(48) << np.uint64(42) | (keys >> np.uint64(32) & low) << BITS | keys >> np.uint64(16) & low, keys & low
+
+
+def distinct(context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and last characters of the distinct 4-grams in order, and the place of each given one among them."""
+    if max(int(last.max(initial=0)), *(int((context >> np.uint64(n) & LETTER).max(initial=0)) for n in (0, 21, 42))) <= 0xFFFF:
+        unique, inverse = np.unique(narrow(context, last), return_inverse=True)
+        return *widen(unique), inverse
+    contexts, rank = np.unique(context, return_inverse=True)
+    unique, inverse = np.unique(rank.astype(np.uint64) << BITS | last, return_inverse=True)
+    return contexts[(unique >> BITS).astype(np.int64)], unique & LETTER, inverse
+
+
+def tally(context: np.ndarray, last: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    context, last, inverse = distinct(context, last)
+    return context, last, np.bincount(inverse, weights, len(last)).astype(np.int64)
 
 
 @dataclass
 class Level:
-    """One order: sorted n-grams with discounted numerators, sorted contexts with totals and back-off masses."""
+    """One order: sorted n-grams with discounted numerators, sorted contexts with totals and back-off masses.
+
+    The key of an n-gram is the place of its context in ``contexts`` and its last character, so it is exact for any alphabet.
+    """
 
     keys: np.ndarray
     top: np.ndarray
@@ -57,10 +86,11 @@ class Level:
     back: np.ndarray
 
     @staticmethod
-    def of(keys: np.ndarray, counts: np.ndarray) -> Level:
+    def of(context: np.ndarray, last: np.ndarray, counts: np.ndarray) -> Level:
         once, twice = (counts == 1).sum(), (counts == 2).sum()
         discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
-        contexts, at, types = np.unique(keys >> np.uint64(16), return_index=True, return_counts=True)
+        contexts, at, types = np.unique(context, return_index=True, return_counts=True)
+        keys = np.repeat(np.arange(len(contexts), dtype=np.uint64), types) << BITS | last
         total = np.add.reduceat(counts, at).astype(float) if len(at) else np.zeros(0)
         return Level(keys, counts - discount, contexts, total, discount * types)
 
@@ -80,26 +110,31 @@ class Model:
     cut: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
-    def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-        levels, seen = {}, [np.zeros(0, np.uint64)]
-        for lang, (keys, n) in counts.items():
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            own = [Level.of(keys, n)]
+    def build(counts: Iterable[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+        """From language, contexts, last characters and counts of each language, one after another."""
+        levels, seen = {}, np.zeros(0, np.uint64)
+        for lang, context, last, n in counts:
+            order = np.lexsort((last, context))
+            context, last, n = context[order], last[order], n[order]
+            own = [Level.of(context, last, n)]
             for width in (3, 2, 1):
-                keys, n = np.unique(keys & np.uint64(MASK[width]), return_counts=True)
-                own.append(Level.of(keys, n))
-            seen.append(keys)
+                context, last, n = tally(context & MASK[width - 1], last)
+                own.append(Level.of(context, last, n))
+            seen = np.union1d(seen, last)
             levels[lang] = own
-        return Model(sorted(counts), levels, len(np.unique(np.concatenate(seen))) + 1)
+        return Model(sorted(levels), levels, len(seen) + 1)
 
     def probabilities(self, lang: str, keys: np.ndarray) -> np.ndarray:
-        """Interpolated Kneser-Ney probability of the last character of each packed 4-gram."""
-        p = np.full(len(keys), 1.0 / self.symbols)
+        """``chances`` of 4-grams of the basic plane, packed by 16 bits a character."""
+        return self.chances(lang, *widen(keys))
+
+    def chances(self, lang: str, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Interpolated Kneser-Ney probability of the last character of each 4-gram."""
+        p = np.full(len(last), 1.0 / self.symbols)
         for level, width in zip(reversed(self.levels[lang]), (1, 2, 3, 4)):
-            k = keys & np.uint64(MASK[width]) if width < 4 else keys
-            at, known = find(level.keys, k)
-            c, there = find(level.contexts, k >> np.uint64(16))
+            c, there = find(level.contexts, context & MASK[width - 1])
+            at, known = find(level.keys, c.astype(np.uint64) << BITS | last)
+            known &= there
             with np.errstate(divide="ignore", invalid="ignore"):
                 q = (np.where(known, level.top[at], 0.0) + level.back[c] * p) / level.total[c] if len(level.total) else p
             p = np.where(there, q, p)
@@ -113,14 +148,14 @@ class Model:
             words += [ids.setdefault(w, len(ids)) for w in bag]
             times += bag.values()
             rows.append(len(bag))
-        keys, lengths = grams(list(ids))
-        unique, inverse = np.unique(keys, return_inverse=True)
+        context, last, lengths = grams(list(ids))
+        context, last, inverse = distinct(context, last)
         ends = np.cumsum(lengths)
         word, times, row = np.array(words, np.int64), np.array(times, float), np.repeat(np.arange(len(bags)), rows)
         chars = np.bincount(row, lengths[word] * times, len(bags)) if len(word) else np.zeros(len(bags))
         out = np.zeros((len(bags), len(self.languages)))
         for j, lang in enumerate(self.languages):
-            cost = np.concatenate([[0.0], np.cumsum(-np.log(self.probabilities(lang, unique))[inverse])])
+            cost = np.concatenate([[0.0], np.cumsum(-np.log(self.chances(lang, context, last))[inverse])])
             own = cost[ends] - cost[ends - lengths]
             if len(word):
                 out[:, j] = np.bincount(row, own[word] * times, len(bags))
@@ -143,18 +178,18 @@ class Model:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """lang, gram, n: 4-gram counts of all rows of (text, lang); summed inside each task before the shuffle."""
+    """lang, context, last, n: 4-gram counts of all rows of (text, lang); summed inside each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags: dict[str, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, bag in bags.items():
-                keys, lengths = grams(list(bag))
-                keys, n = tally(keys, np.repeat(np.fromiter(bag.values(), float, len(bag)), lengths))
-                for i in range(0, len(keys), 100_000):
-                    part = keys[i : i + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[i : i + 100_000])], ["lang", "gram", "n"])
+                context, last, lengths = grams(list(bag))
+                context, last, n = tally(context, last, np.repeat(np.fromiter(bag.values(), float, len(bag)), lengths))
+                for i in range(0, len(n), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[part]), pa.string()), pa.array(context[part].astype(np.int64)), pa.array(last[part].astype(np.int32)), pa.array(n[part])], ["lang", "context", "last", "n"])
             bags.clear()
 
         for b in batches:
@@ -165,7 +200,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, context long, last int, n long").groupBy("lang", "context", "last").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=None, id_col: str = "doc_id") -> Model:
@@ -179,7 +214,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=N
         least *= 2
     table = counts.where(F.col("n") >= least).toArrow().to_pandas()
     discard(spark, counts)
-    model = Model.build({str(k): (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for k, g in table.groupby("lang")})
+    model = Model.build((str(k), g["context"].to_numpy().astype(np.uint64), g["last"].to_numpy().astype(np.uint64), g["n"].to_numpy()) for k, g in table.groupby("lang"))
     if model.languages:
         # Ids are chosen first, so that no task sends texts that another's smaller hashes push out.
         chosen = F.broadcast(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS))

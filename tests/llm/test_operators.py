@@ -300,6 +300,17 @@ def test_language_probabilities_sum_to_one(docs):
             assert model.probabilities(lang, keys).sum() + unseen == pytest.approx(1, abs=1e-6)
 
 
+def test_language_beyond_the_basic_plane(spark):
+    """Letters whose low 16 bits are those of the padding or of other letters stay letters of their own."""
+    one, two = "\U00020061\U00020062\U00020063", "\U00030061\U00030062\U00030063"
+    rows = [(1, f"{one} a\U00020002b", "aa"), (2, f"{two} \U00010002x", "bb"), (3, "abc abc", "cc")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+    langs, _, rejected, low = model.judge([one, two, "abc", "a\U00020002b"])
+    assert langs == ["aa", "bb", "cc", "aa"] and not rejected.any() and np.isfinite(low).all()
+    context, last, lengths = language.grams(["a\U00020002b"])
+    assert len(last) == lengths[0] == 4
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(2)
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()][:12]
