@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models, one per language, kept as sorted arrays.
 
-Counts come from every training row: words of lower-cased letters, padded, cut into character 4-grams.
+Counts come from every training row: words of lower-cased letters, padded, cut into character 4-grams, all of which are kept.
 A 4-gram is its context of three characters, packed by 21 bits each, and its last character. Lower orders are continuation counts of the order above. A text gets the language with the lowest cross-entropy a
 character; texts whose best cross-entropy lies beyond a calibrated cut are marked as rejected. Null texts and texts
 without a letter are ``und`` with score 0 and rejected. Ties go to the first language by name. Rows without a language
@@ -23,8 +23,8 @@ from terrapulse.llm.common import discard, fold, materialize, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, START, STOP = 4, "\x02\x02\x02", "\x03"
-#: Bound on the distinct 4-grams of all languages in a model; beyond it the rarest are left out.
-MAX_GRAMS = 1 << 21
+#: 4-grams that the driver fetches at once; a language that has more comes alone.
+FETCHED_GRAMS = 1 << 21
 #: Distinct words that a task holds before it turns them into n-gram counts, and rows that the rejection cut is set on.
 HELD_WORDS, CALIBRATION_ROWS, MARGIN, SHARPNESS = 400_000, 2048, 0.75, 40
 #: Bytes of text that are scored at once.
@@ -203,18 +203,29 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, context long, last int, n long").groupBy("lang", "context", "last").agg(F.sum("n").alias("n"))
 
 
+def fetched(counts: DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Language, contexts, last characters and counts of all 4-grams of each language, some languages at once."""
+    groups, held = [[]], 0
+    for lang, n in sorted(tuple(r) for r in counts.groupBy("lang").count().collect()):
+        if groups[-1] and held + n > FETCHED_GRAMS:
+            groups.append([])
+            held = 0
+        groups[-1].append(lang)
+        held += n
+    for group in filter(None, groups):
+        table = counts.where(F.col("lang").isin(group)).toArrow().to_pandas()
+        for lang, g in table.groupby("lang"):
+            yield str(lang), g["context"].to_numpy().astype(np.uint64), g["last"].to_numpy().astype(np.uint64), g["n"].to_numpy()
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=None, id_col: str = "doc_id") -> Model:
     """A model from every row of ``docs`` with a language where ``train`` (a condition, all by default) holds."""
     spark = docs.sparkSession
     rows = docs if train is None else docs.where(train)
     rows = rows.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = materialize(spark, count_grams(rows.select("text", "lang")), "language-grams")
-    least = 1
-    while least < 1 << 40 and counts.where(F.col("n") >= least).count() > MAX_GRAMS:
-        least *= 2
-    table = counts.where(F.col("n") >= least).toArrow().to_pandas()
+    model = Model.build(fetched(counts))
     discard(spark, counts)
-    model = Model.build((str(k), g["context"].to_numpy().astype(np.uint64), g["last"].to_numpy().astype(np.uint64), g["n"].to_numpy()) for k, g in table.groupby("lang"))
     if model.languages:
         # Ids are chosen first, so that no task sends texts that another's smaller hashes push out.
         chosen = F.broadcast(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS))

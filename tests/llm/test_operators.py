@@ -300,6 +300,20 @@ def test_language_probabilities_sum_to_one(docs):
             assert model.probabilities(lang, keys).sum() + unseen == pytest.approx(1, abs=1e-6)
 
 
+def test_language_keeps_rare_grams_of_every_language(spark):
+    """A sparse language beside a dominant one whose distinct 4-grams alone are more than the driver fetches at once."""
+    rng = random.Random(7)
+    word = lambda: "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(500))
+    rows = [(i, " ".join(word() for _ in range(12)), "zz") for i in range(400)] + [(10**6, "kleine sprache", "aa")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING").repartition(4)
+    model = language.fit(df)
+    assert model.languages == ["aa", "zz"]
+    grams = {(w[i : i + 3], w[i + 3]) for _, t, lang in rows if lang == "zz" for v in t.split() for w in [language.START + v + language.STOP] for i in range(len(v) + 1)}
+    assert len(model.levels["zz"][0].keys) == len(grams) > 1 << 21
+    assert len(model.levels["aa"][0].keys) == 15
+    assert model.judge(["kleine sprache"])[0] == ["aa"]
+
+
 def test_language_beyond_the_basic_plane(spark):
     """Letters whose low 16 bits are those of the padding or of other letters stay letters of their own."""
     one, two = "\U00020061\U00020062\U00020063", "\U00030061\U00030062\U00030063"
