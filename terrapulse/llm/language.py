@@ -25,8 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDER, START, STOP = 4, "\x02\x02\x02", "\x03"
 #: 4-grams that the driver fetches at once; a language that has more comes alone.
 FETCHED_GRAMS = 1 << 21
-#: Distinct words that a task holds before it turns them into n-gram counts, and rows that the rejection cut is set on.
-HELD_WORDS, CALIBRATION_ROWS, MARGIN, SHARPNESS = 400_000, 2048, 0.75, 40
+#: Distinct words that a task holds before it turns them into n-gram counts, and bins a nat of the entropies that the rejection cut is set on.
+HELD_WORDS, BINS, MARGIN, SHARPNESS = 400_000, 1000, 0.75, 40
 #: Bytes of text that are scored at once.
 SLICE = 4 << 20
 BITS = np.uint64(21)
@@ -218,24 +218,46 @@ def fetched(counts: DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray, np
             yield str(lang), g["context"].to_numpy().astype(np.uint64), g["last"].to_numpy().astype(np.uint64), g["n"].to_numpy()
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=None, id_col: str = "doc_id") -> Model:
+def calibrate(rows: DataFrame, model: Model) -> dict[str, float]:
+    """The 0.999 quantile, to a bin's upper edge, of the entropies of all rows of (text, lang) that get their own language."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins: Counter = Counter()
+        for b in batches:
+            for i, j in slices(b["text"], SLICE):
+                part = b.slice(i, j - i)
+                langs, _, _, low = shared.value.judge(part["text"].to_pylist())
+                bins.update((own, int(x * BINS)) for own, lang, x in zip(part["lang"].to_pylist(), langs, low) if own == lang and x > 0)
+        keys = list(bins)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.int64()), pa.array(list(bins.values()), pa.int64())], ["lang", "bin", "n"])
+
+    histograms: dict[str, list[tuple[int, int]]] = {}
+    for lang, at, n in rows.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n")).collect():
+        histograms.setdefault(lang, []).append((at, n))
+    shared.unpersist()
+    out = {}
+    for lang, own in histograms.items():
+        at, n = np.array(sorted(own)).T
+        upto = np.cumsum(n)
+        out[lang] = float(at[np.searchsorted(upto, 0.999 * upto[-1])] + 1) / BINS
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=None) -> Model:
     """A model from every row of ``docs`` with a language where ``train`` (a condition, all by default) holds."""
     spark = docs.sparkSession
     rows = docs if train is None else docs.where(train)
-    rows = rows.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = materialize(spark, count_grams(rows.select("text", "lang")), "language-grams")
+    rows = rows.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = materialize(spark, count_grams(rows), "language-grams")
     model = Model.build(fetched(counts))
     discard(spark, counts)
     if model.languages:
-        # Ids are chosen first, so that no task sends texts that another's smaller hashes push out.
-        chosen = F.broadcast(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS))
-        sample = rows.join(chosen, "id", "left_semi").select("text", "lang").toPandas()
-        langs, _, _, low = model.judge(list(sample["text"]))
+        worst = calibrate(rows, model)
         ceiling = float(np.log(model.symbols))
         for lang in model.languages:
-            own = low[(sample["lang"] == lang).to_numpy() & (np.array(langs) == lang)]
-            worst = float(np.quantile(own, 0.999)) if len(own) else ceiling
-            model.cut[lang] = worst + MARGIN * max(ceiling - worst, 0.0)
+            own = worst.get(lang, ceiling)
+            model.cut[lang] = own + MARGIN * max(ceiling - own, 0.0)
     return model
 
 

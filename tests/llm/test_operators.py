@@ -314,6 +314,15 @@ def test_language_keeps_rare_grams_of_every_language(spark):
     assert model.judge(["kleine sprache"])[0] == ["aa"]
 
 
+def test_language_cut_is_set_on_all_rows(spark):
+    """A language with few rows among many is calibrated as well: its cut lies below the ceiling."""
+    rows = [(i, "the cat sat on the mat", "en") for i in range(20_000)] + [(10**6 + i, "der hund lief durch den wald", "de") for i in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+    own = float(model.judge(["der hund lief durch den wald"])[3][0])
+    ceiling = float(np.log(model.symbols))
+    assert model.cut["de"] == pytest.approx(own + language.MARGIN * (ceiling - own), abs=0.002)
+
+
 def test_language_beyond_the_basic_plane(spark):
     """Letters whose low 16 bits are those of the padding or of other letters stay letters of their own."""
     one, two = "\U00020061\U00020062\U00020063", "\U00030061\U00030062\U00030063"
