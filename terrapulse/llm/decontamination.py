@@ -5,7 +5,8 @@ m - q + 1 - kq of its q-grams with the place, on diagonals at most k apart. So a
 stretch holds that many q-grams of items of about that length; there, q-grams are counted by item in overlapping diagonal bands, and
 bands that reach the bound are aligned. q is 8, so a q-gram is its own 64-bit key and nothing is lost or made up by hashing.
 Null texts count as empty and hold nothing. Items that normalise to fewer than ``MIN_CHARS`` bytes are not looked for. Repeated rows of
-documents are judged one by one; repeated items are found once an item_id. Null item ids are left out.
+documents are judged one by one; every distinct text of an item_id is looked for,
+and the id is found once with the least edits of its texts. Items without an id are looked for as well; their id is null and comes last.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def aligned(item: np.ndarray, text: np.ndarray, offset: int, width: int) -> int:
 
 @dataclass
 class Index:
-    ids: np.ndarray
+    ids: list[int | None]
     items: list[np.ndarray]
     budgets: np.ndarray
     needs: np.ndarray
@@ -97,8 +98,8 @@ class Index:
 
     @staticmethod
     def build(rows: list[tuple[int, str | None]]) -> Index:
-        rows = sorted({i: t for i, t in sorted(rows, key=lambda r: (r[0], r[1] or ""))}.items())
-        data, at = normalise(pa.array([t or "" for _, t in rows], pa.string()))
+        rows = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        data, at = normalise(pa.array([t for _, t in rows], pa.string()))
         ids, items, budgets, needs = [], [], [], []
         for (i, _), a, b in zip(rows, at[:-1], at[1:]):
             body = data[a:b].tobytes().strip()
@@ -128,7 +129,7 @@ class Index:
             own = np.flatnonzero(classes[item_of] == c)
             own = own[np.argsort(keys[own], kind="stable")]
             parts[c] = keys[own], item_of[own], place[own]
-        return Index(np.array(ids, np.int64), items, np.array(budgets, np.int64), np.array(needs, np.int64), parts, table, spans)
+        return Index(ids, items, np.array(budgets, np.int64), np.array(needs, np.int64), parts, table, spans)
 
     def stretches(self, bits: np.ndarray, row: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(class, row, first, last) of stretches where some class of items has the q-grams it needs."""
@@ -190,10 +191,10 @@ class Index:
 
 def blocks(benchmark: DataFrame) -> list[Index]:
     """Indexes over all items, none above ``MAX_BLOCK`` bytes (but for one long item)."""
-    one = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    one = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // MAX_BLOCK) or 1
-    return [Index.build([tuple(r) for r in one.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()]) for i in range(n)]
+    return [Index.build([tuple(r) for r in one.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]) for i in range(n)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,8 +208,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             for i, j in slices(b["text"], SLICE):
                 for index in indexes:
                     for r, got in index.value.search(b["text"].slice(i, j - i)).items():
-                        items[i + r] |= {int(index.value.ids[k]): e for k, e in got.items()}
-            sorted_items = [sorted(x.items()) for x in items]
+                        for k, e in got.items():
+                            key = index.value.ids[k]
+                            items[i + r][key] = min(e, items[i + r].get(key, e))
+            sorted_items = [sorted(x.items(), key=lambda p: (p[0] is None, p[0] or 0)) for x in items]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([bool(x) for x in items]), pa.array([[k for k, _ in x] for x in sorted_items], pa.list_(pa.int64())), pa.array([[e for _, e in x] for x in sorted_items], pa.list_(pa.int64()))], ["id", "contaminated", "items", "edits"])
 
     out = one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, contaminated boolean, items array<bigint>, edits array<bigint>")

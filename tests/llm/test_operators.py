@@ -334,6 +334,16 @@ def test_language_beyond_the_basic_plane(spark):
     assert len(last) == lengths[0] == 4
 
 
+def test_decontamination_looks_for_every_text_of_an_id(spark):
+    """Items that share an id, or have none, are all searched."""
+    one, two, three = ("the quick brown fox jumps over the lazy dog", "colourless green ideas sleep furiously tonight", "a stitch in time saves nine of ten tailors")
+    bench = spark.createDataFrame([(1, one), (1, two), (None, three)], "item_id BIGINT, text STRING")
+    docs = spark.createDataFrame([(i, f"so then {t} and so on") for i, t in enumerate((one, two, three))] + [(3, "nothing of the kind")], "doc_id BIGINT, text STRING")
+    got = {r["doc_id"]: (r["contaminated"], r["items"], r["edits"]) for r in decontamination.find(docs, bench).collect()}
+    assert got == {0: (True, [1], [0]), 1: (True, [1], [0]), 2: (True, [None], [0]), 3: (False, [], [])}
+    assert [r["doc_id"] for r in decontamination.clean(docs, bench).collect()] == [3]
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(2)
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()][:12]
