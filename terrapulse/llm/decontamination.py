@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma, with verification by banded alignment.
 
-Texts are lower-cased, and runs of anything but letters and digits become one space. An item of m bytes that occurs with at most k edits shares
+Texts are lower-cased, and runs of anything but letters (with their marks) and digits become one space. An item of m bytes that occurs with at most k edits shares
 m - q + 1 - kq of its q-grams with the place, on diagonals at most k apart. So a document is looked at closely only where a
 stretch holds that many q-grams of items of about that length; there, q-grams are counted by item in overlapping diagonal bands, and
 bands that reach the bound are aligned. q is 8, so a q-gram is its own 64-bit key and nothing is lost or made up by hashing.
@@ -35,7 +35,11 @@ for _a in (48, 65, 97):
 
 def normalise(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes with single spaces, each row between two spaces, and the n + 1 offsets."""
-    data, at = utf8(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
+    # Bytes fold what is ASCII; other punctuation is several bytes, so it goes before.
+    lower = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
+    data, at = utf8(lower)
+    if data.max(initial=0) > 127:
+        data, at = utf8(pc.replace_substring_regex(lower, r"[^\p{L}\p{N}\p{M}\x00-\x7f]+", " "))
     n = len(at) - 1
     # A space before each row and one after the last keep q-grams and words of neighbours apart.
     framed = np.full(len(data) + n + 1, 32, np.uint8)

@@ -344,6 +344,17 @@ def test_decontamination_looks_for_every_text_of_an_id(spark):
     assert [r["doc_id"] for r in decontamination.clean(docs, bench).collect()] == [3]
 
 
+def test_decontamination_folds_all_punctuation(spark):
+    """A passage set again with curly quotes, dashes, no-break spaces and full-width marks is the same passage."""
+    item = "'The old mill', they said, stood 'by the river' - near town, since 1850."
+    text = "\u2018The\u00a0old\u00a0mill\u2019\uff0c they said\uff0c stood \u201cby the river\u201d \u2014 near\u00a0town\uff0c since\u00a01850\u3002 Más café."
+    bench = spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")
+    docs = spark.createDataFrame([(0, text)], "doc_id BIGINT, text STRING")
+    got = decontamination.find(docs, bench).first()
+    assert got["items"] == [1] and got["edits"] == [0]
+    assert decontamination.normalise(pa.array(["Más\u00a0café \u2014 e\u0301té"]))[0].tobytes().decode() == " más café e\u0301té "
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(2)
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()][:12]
