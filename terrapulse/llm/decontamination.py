@@ -4,7 +4,8 @@ Texts are lower-cased, and runs of anything but letters (with their marks) and d
 m - q + 1 - kq of its q-grams with the place, on diagonals at most k apart. So a document is looked at closely only where a
 stretch holds that many q-grams of items of about that length; there, q-grams are counted by item in overlapping diagonal bands, and
 bands that reach the bound are aligned. q is 8, so a q-gram is its own 64-bit key and nothing is lost or made up by hashing.
-Null texts count as empty and hold nothing. Items that normalise to fewer than ``MIN_CHARS`` bytes are not looked for. Repeated rows of
+Null texts count as empty and hold nothing. Items that normalise to fewer than ``MIN_CHARS`` bytes are
+looked for as whole words without edits, by a hash of all their bytes; those that normalise to nothing are in no text. Repeated rows of
 documents are judged one by one; every distinct text of an item_id is looked for,
 and the id is found once with the least edits of its texts. Items without an id are looked for as well; their id is null and comes last.
 """
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import slices, utf8
+from terrapulse.llm.common import slices, splitmix, utf8
 
 Q, EDIT_RATE, MIN_CHARS, CLASS_RATIO, TABLE_BITS = 8, 0.08, 24, 1.25, 20
 #: Bytes of items that one index may hold and broadcast; more items are looked for in blocks, one pass each.
@@ -71,6 +72,16 @@ def slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
 
 
+def windows(keys: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` bytes from each place as one integer, a hash where they are more than eight; ``keys`` are ``packed``."""
+    if n < Q:
+        return keys[at] & np.uint64((1 << 8 * n) - 1)
+    out = keys[at]
+    for k in sorted({*range(Q, n - Q + 1, Q), n - Q} - {0}):
+        out = splitmix(out) ^ keys[at + k]
+    return out
+
+
 def aligned(item: np.ndarray, text: np.ndarray, offset: int, width: int) -> int:
     """Least edits of the whole item against any stretch of ``text``, over diagonals offset..offset + width."""
     lo = offset
@@ -99,15 +110,20 @@ class Index:
     parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each length class: sorted q-grams, their items and places
     table: np.ndarray
     spans: list[tuple[int, int]]  # of each length class: reach of a stretch, q-grams needed
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length of short items between spaces: sorted keys, and items
+    whole: list[bytes]  # short items between spaces; they are numbered after the others
 
     @staticmethod
     def build(rows: list[tuple[int, str | None]]) -> Index:
         rows = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         data, at = normalise(pa.array([t for _, t in rows], pa.string()))
-        ids, items, budgets, needs = [], [], [], []
+        ids, items, budgets, needs, short_ids, whole = [], [], [], [], [], []
         for (i, _), a, b in zip(rows, at[:-1], at[1:]):
             body = data[a:b].tobytes().strip()
-            if len(body) >= MIN_CHARS:
+            if 0 < len(body) < MIN_CHARS:
+                short_ids.append(i)
+                whole.append(b" " + body + b" ")
+            elif body:
                 own = np.frombuffer(body, np.uint8)
                 m = len(own)
                 k = min(int(EDIT_RATE * m), (m - Q) // Q)
@@ -133,7 +149,14 @@ class Index:
             own = np.flatnonzero(classes[item_of] == c)
             own = own[np.argsort(keys[own], kind="stable")]
             parts[c] = keys[own], item_of[own], place[own]
-        return Index(ids, items, np.array(budgets, np.int64), np.array(needs, np.int64), parts, table, spans)
+        short = {}
+        for n in {len(x) for x in whole}:
+            own = np.array([i for i, x in enumerate(whole) if len(x) == n])
+            data = np.frombuffer(b"".join(whole[i] for i in own) + bytes(Q), np.uint8)
+            keys = windows(packed(data), np.arange(len(own)) * n, n)
+            order = np.argsort(keys, kind="stable")
+            short[n] = keys[order], own[order] + len(items)
+        return Index(ids + short_ids, items, np.array(budgets, np.int64), np.array(needs, np.int64), parts, table, spans, short, whole)
 
     def stretches(self, bits: np.ndarray, row: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(class, row, first, last) of stretches where some class of items has the q-grams it needs."""
@@ -162,8 +185,29 @@ class Index:
         for c, r, first, last in self.stretches(bits[hits], row, hits):
             first, last = max(first, int(at[r])), min(last, int(at[r + 1]))
             self.confirm(c, data[int(at[r]) : int(at[r + 1])], keys[first : max(first, min(last, len(keys)))], first - int(at[r]), out.setdefault(r, {}))
+        self.words(data, at, out)
         return {r: x for r, x in out.items() if x}
 
+    def words(self, data: np.ndarray, at: np.ndarray, out: dict[int, dict[int, int]]) -> None:
+        """Short items as whole words of a row."""
+        if not self.short:
+            return
+        keys = packed(np.concatenate([data, np.zeros(MIN_CHARS + Q, np.uint8)]))
+        spaces = np.flatnonzero(data == 32)
+        rows = np.searchsorted(at, spaces, "right") - 1
+        for n, (own, items) in self.short.items():
+            inside = (rows < len(at) - 1) & (spaces + n <= at[np.minimum(rows + 1, len(at) - 1)] + 1)
+            place, row = spaces[inside], rows[inside]
+            here = windows(keys, place, n)
+            lo, hi = np.searchsorted(own, here, "left"), np.searchsorted(own, here, "right")
+            some = np.flatnonzero(hi > lo)
+            # One place for each row and key will do.
+            _, first = np.unique(np.stack([row[some], lo[some]]), axis=1, return_index=True)
+            for k in some[first]:
+                for i in items[lo[k] : hi[k]]:
+                    if data[place[k] : place[k] + n].tobytes() == self.whole[i - len(self.items)]:
+                        out.setdefault(int(row[k]), {})[int(i)] = 0
+
     def confirm(self, c: int, text: np.ndarray, keys: np.ndarray, first: int, out: dict[int, int]) -> None:
         """Count the q-grams of a stretch by item of class ``c`` and diagonal band, and align where the count is enough."""
         own_keys, own_item, own_place = self.parts[c]
@@ -247,7 +291,7 @@ def brute(text: str | None, item: str | None) -> int | None:
 
     a, t = flat(item), flat(text)
     if len(a) < MIN_CHARS:
-        return None
+        return 0 if a and b" " + a + b" " in b" " + t + b" " else None
     row = [0] * (len(t) + 1)
     for i, c in enumerate(a, 1):
         new = [i]

@@ -355,6 +355,21 @@ def test_decontamination_folds_all_punctuation(spark):
     assert decontamination.normalise(pa.array(["Más\u00a0café \u2014 e\u0301té"]))[0].tobytes().decode() == " más café e\u0301té "
 
 
+def test_decontamination_of_short_items_is_brute_force(spark):
+    rng = random.Random(5)
+    words = ["a", "ab", "cat", "mat", "über", "seven", "eleven", "thirteen", "x" * 21]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 5)))) for i in range(80)] + [(100, "?!"), (101, None), (102, "a")]
+    items = [(i, t) for i, t in items if len((t or "").encode()) < decontamination.MIN_CHARS]
+    rows = [(i, " ".join(rng.choices(words + ["cats", "b", "-"], k=rng.randrange(0, 40)))) for i in range(200)] + [(900, None), (901, "a"), (902, "b"), (903, "cat"), (904, "mat")]
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    seen = 0
+    for r in decontamination.find(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").coalesce(1), bench).collect():
+        want = {i: e for i, t in items if (e := decontamination.brute(dict(rows)[r["doc_id"]], t)) is not None}
+        assert dict(zip(r["items"], r["edits"])) == want
+        seen += len(want)
+    assert seen > 500
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(2)
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()][:12]
