@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from terrapulse.llm.common import discard, materialize, scratch
 MAGIC, END, CRLF = b"WARC/1.1\r\n", b"\r\n\r\n", "\r\n"
 #: Payload rows a file, so that an archive stays small enough to be read whole by one task.
 FILE_ROWS = 1024
+#: Compressed bytes that are handed to a gzip member at once.
+CHUNK = 1 << 16
 HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[A-Za-z-]+: ?[^\r\n]*\r\n)+)\r\n")
 
 
@@ -72,6 +75,23 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
     out.write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", rows_a_file).text(path)
 
 
+def inflate(data: memoryview) -> bytes:
+    """All gzip members of ``data``, one after another; zeros may pad the end."""
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            if at >= len(data):
+                raise zlib.error("incomplete or truncated stream")
+            part = data[at : at + CHUNK]
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        out.append(member.flush())
+        if at < len(data) and data[at] == 0 and not bytes(data[at:]).strip(b"\0"):
+            break
+    return b"".join(out)
+
+
 def candidates(content: bytes) -> Iterator[tuple[int, int, bytes, int, int]]:
     """Offset, successor, header block, payload start and end of every place where a record header parses."""
     for m in HEADER.finditer(content):
@@ -84,11 +104,9 @@ def candidates(content: bytes) -> Iterator[tuple[int, int, bytes, int, int]]:
 LINK = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType()), ("at", T.LongType()), ("next", T.LongType()), ("size", T.LongType()), ("id", T.LongType()), ("url", T.StringType()), ("bytes", T.LongType()), ("digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("sound", T.BooleanType()))])
 
 
-def links(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each candidate record of the archives under ``path``."""
-    import zlib
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def links(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
+    """One row for each candidate record of the archives under ``path`` whose names match ``pattern``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def number(header: dict, key: bytes) -> int | None:
         return int(m[1]) if (m := re.search(rb"(\d+)>?$", header.get(key, b""))) else None
@@ -97,7 +115,7 @@ def links(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, content in zip(b["path"], b["content"]):
                 view = content.as_buffer()
-                data = zlib.decompress(view, 47) if bytes(memoryview(view)[:2]) == b"\x1f\x8b" else view.to_pybytes()
+                data = inflate(memoryview(view)) if bytes(memoryview(view)[:2]) == b"\x1f\x8b" else view.to_pybytes()
                 rows = []
                 for at, after, head, start, end in candidates(data):
                     h = dict(re.findall(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n", head))
@@ -140,9 +158,9 @@ def reachable(nodes: DataFrame) -> DataFrame:
         jumps = doubled
 
 
-def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """id, url, bytes, digest, record_type, refers_to of every record in the archives under ``path``."""
-    nodes = materialize(spark, links(spark, path), "warc-links")
+def read(spark: SparkSession, path: str, strict: bool = True, pattern: str = "part-*") -> DataFrame:
+    """id, url, bytes, digest, record_type, refers_to of every record in the archives under ``path`` whose names match ``pattern``."""
+    nodes = materialize(spark, links(spark, path, pattern), "warc-links")
     kept = reachable(nodes)
     if strict:
         kept = materialize(spark, kept, "warc-records")

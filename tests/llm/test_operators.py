@@ -1,9 +1,11 @@
 """Corpus operators against brute force, round trips, held-out accuracy and odd inputs."""
 
 import base64
+import gzip
 import hashlib
 import os
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -370,6 +372,22 @@ def test_decontamination_of_short_items_is_brute_force(spark):
     assert seen > 500
 
 
+def test_warc_of_one_gzip_member_a_record(spark, tmp_path):
+    """The usual form of an archive, under its usual name."""
+    records = []
+    for i in range(300):
+        body = os.urandom(500) * 2
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(body)}\r\n\r\n"
+        records.append(head.encode() + body + warc.END)
+    (tmp_path / "crawl.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "part-0.gz").write_bytes(b"".join(map(gzip.compress, records[:2])) + bytes(8))
+    for pattern, n in (("*.warc.gz", 300), ("part-*", 2)):
+        assert sorted(r["id"] for r in warc.read(spark, str(tmp_path), pattern=pattern).collect()) == list(range(n))
+    with pytest.raises(zlib.error):
+        warc.inflate(memoryview(gzip.compress(records[0]) + gzip.compress(records[1])[:-9]))
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(2)
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()][:12]
