@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     if not (path := spark.conf.get("spark.checkpoint.dir", "")):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="terrapulse-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,8 +44,27 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote."""
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, file.rsplit("/", 1)[0])
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shipped(spark: SparkSession, name: str, data: bytes) -> str:
+    """Put ``data`` into the shared folder and have every executor fetch it once: the name that ``SparkFiles.get`` takes. Equal data is one file."""
+    name = f"{name}-{xxhash.xxh128_hexdigest(data)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        for i in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[i : i + (1 << 22)]))
+        out.close()
+    spark.sparkContext.addFile(str(path.toUri()))
+    return name
 
 
 def fold(id_col: str, n: int) -> Column:
