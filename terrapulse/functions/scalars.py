@@ -59,6 +59,14 @@ def predict(weights: Column, terms: Column, intercept: Column) -> Column:
     return F.aggregate(F.zip_with(weights, terms, lambda w, x: w * x), intercept.cast("double"), lambda a, v: a + v)
 
 
+def predict_terms(weights: Column, terms: list[Column], intercept: Column) -> Column:
+    """As ``predict`` for a known number of terms, as one compiled sum; weights that an array lacks are 0."""
+    out = intercept.cast("double")
+    for i, x in enumerate(terms):
+        out = out + F.coalesce(F.get(weights, F.lit(i)), F.lit(0.0)) * x
+    return out
+
+
 def median_of(values: Column) -> Column:
     """Median of an array; 0 where it is empty."""
     s, n = F.array_sort(values), F.size(values)

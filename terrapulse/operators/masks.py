@@ -1,4 +1,4 @@
-"""Observation masks in long form. Windows cluster by pixel, so one exchange by pixel serves all of them."""
+"""Observation masks in long form. All windows are of a pixel in the order of day and seq, so one exchange and one sort by pixel serve all of them."""
 
 from __future__ import annotations
 
@@ -27,8 +27,9 @@ def unsaturated() -> Column:
 
 def first_of_day(df: DataFrame, keep: str) -> DataFrame:
     """``keep`` holds for the first kept row (by seq) of a pixel's day only."""
-    order = Window.partitionBy("pixel_id", "day", keep).orderBy("seq")
-    return df.withColumn(keep, F.col(keep) & (F.row_number().over(order) == 1))
+    before = Window.partitionBy("pixel_id").orderBy("day", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col(keep), F.struct("day")), ignorenulls=True).over(before)
+    return df.withColumn(keep, F.col(keep) & (last.isNull() | ~last["day"].eqNullSafe(F.col("day"))))
 
 
 def standard(obs: DataFrame, o: HarmonicOptions = HarmonicOptions(), name: str = "keep", thermal: Column | None = None) -> DataFrame:

@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapulse.functions.scalars import harmonic_terms, predict, seasonal_distance
+from terrapulse.functions.scalars import harmonic_terms, predict_terms, seasonal_distance
 from terrapulse.options import BANDS, HarmonicOptions
 
 
-def melted(obs: DataFrame, bands: tuple[str, ...] = BANDS) -> DataFrame:
-    """pixel_id, day, seq, band (index), value."""
-    return obs.select("pixel_id", "day", "seq", F.posexplode(F.array(*bands)).alias("band", "value"))
+def melted(obs: DataFrame, bands: tuple[str, ...] = BANDS, *more: Column) -> DataFrame:
+    """pixel_id, day, seq, band (index), value, and ``more`` columns that a row's bands share."""
+    return obs.select("pixel_id", "day", "seq", *more, F.posexplode(F.array(*bands)).alias("band", "value"))
 
 
-def residuals(obs: DataFrame, models: DataFrame, bands: tuple[str, ...] = BANDS) -> DataFrame:
-    """Joins models (pixel_id, band, intercept, weights) by pixel and band; adds predicted and residual."""
-    x = F.array(*harmonic_terms(F.col("day")))
-    joined = melted(obs, bands).join(models, ["pixel_id", "band"])
-    return joined.withColumn("predicted", predict(F.col("weights"), x, F.col("intercept"))).withColumn("residual", F.col("value") - F.col("predicted"))
+def by_band(*values: float | Column) -> Column:
+    """The value of a row's band out of a literal array, so that constants need no join."""
+    return F.get(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), F.col("band"))
+
+
+def with_models(df: DataFrame, models: DataFrame | dict[str, Column]) -> DataFrame:
+    """Adds columns by pixel and band, or the same for all pixels where they are given as columns."""
+    return df.withColumns(models) if isinstance(models, dict) else df.join(models, ["pixel_id", "band"])
+
+
+def residuals(obs: DataFrame, models: DataFrame | dict[str, Column], bands: tuple[str, ...] = BANDS) -> DataFrame:
+    """Adds models (pixel_id, band, intercept, weights; or columns intercept and weights), predicted and residual, one row a band."""
+    terms = [f"_x{k}" for k in range(7)]
+    rows = melted(obs, bands, *(x.alias(n) for x, n in zip(harmonic_terms(F.col("day")), terms)))
+    joined = with_models(rows, models)
+    predicted = predict_terms(F.col("weights"), [F.col(n) for n in terms], F.col("intercept"))
+    return joined.withColumn("predicted", predicted).withColumn("residual", F.col("value") - F.col("predicted")).drop(*terms)
 
 
 def score(scored: DataFrame, terms: int) -> DataFrame:
@@ -27,9 +39,9 @@ def score(scored: DataFrame, terms: int) -> DataFrame:
     return scored.groupBy("pixel_id", "band").agg(n.alias("n"), F.when(n > terms, F.sqrt(F.sum(F.col("residual") * F.col("residual")) / (n - terms))).alias("rmse"), F.median(F.abs("residual")).alias("magnitude"))
 
 
-def change_magnitudes(scored: DataFrame, norms: DataFrame, o: HarmonicOptions = HarmonicOptions()) -> DataFrame:
-    """Sum over detection bands of squared normed residuals, by pixel and day; norms (pixel_id, band, norm) of 0 are skipped."""
-    on = scored.where(F.col("band").isin(*o.detection_bands)).join(norms, ["pixel_id", "band"]).where("norm > 0")
+def change_magnitudes(scored: DataFrame, norms: DataFrame | dict[str, Column], o: HarmonicOptions = HarmonicOptions()) -> DataFrame:
+    """Sum over detection bands of squared normed residuals, by pixel and day; norms (pixel_id, band, norm; or a column norm) of 0 are skipped."""
+    on = with_models(scored.where(F.col("band").isin(*o.detection_bands)), norms).where("norm > 0")
     return on.groupBy("pixel_id", "day", "seq").agg(F.sum(F.pow(F.col("residual") / F.col("norm"), 2)).alias("magnitude"))
 
 
@@ -52,10 +64,10 @@ def seasonal_rmse(residual: Column) -> Column:
     return F.sqrt(F.sum(residual * residual)) / 4.0
 
 
-def stability(scored: DataFrame, models: DataFrame, norms: DataFrame, o: HarmonicOptions = HarmonicOptions()) -> DataFrame:
-    """The norm of drift and end residuals over detection bands, by pixel, and whether it is below the change threshold."""
+def stability(scored: DataFrame, models: DataFrame | dict[str, Column], norms: DataFrame | dict[str, Column], o: HarmonicOptions = HarmonicOptions()) -> DataFrame:
+    """The norm of drift and end residuals over detection bands, by pixel, and whether it is below the change threshold; norms of 0 are skipped."""
     first, last = F.min_by("residual", F.struct("day", "seq")), F.max_by("residual", F.struct("day", "seq"))
     ends = scored.where(F.col("band").isin(*o.detection_bands)).groupBy("pixel_id", "band").agg(first.alias("first"), last.alias("last"), (F.max("day") - F.min("day")).alias("span"))
-    joined = ends.join(models, ["pixel_id", "band"]).join(norms, ["pixel_id", "band"])
+    joined = with_models(with_models(ends, models), norms).where("norm > 0")
     drift = (F.abs(F.col("weights")[0] * F.col("span")) + F.abs("first") + F.abs("last")) / F.col("norm")
     return joined.groupBy("pixel_id").agg(F.sum(F.pow(drift, 2)).alias("drift")).withColumn("stable", F.col("drift") < o.change_threshold)

@@ -49,23 +49,24 @@ def modal_gaps(kept: DataFrame, lags: int) -> DataFrame:
 def adjusted_variogram(kept: DataFrame, o: HarmonicOptions = HarmonicOptions(), bands: tuple[str, ...] = BANDS, least_gap: int = 30) -> DataFrame:
     """Median absolute difference by band at the least lag whose commonest gap exceeds ``least_gap``; else the madogram.
 
-    A pixel's series is one packed row. Every lag of a pixel is looked at, but only day gaps are spread out, never band values.
+    A pixel's series is one packed row, and its lags are tried in order within the row, until one will do.
     """
     p = packed(kept.where(F.col("day") <= o.stat_day), bands).withColumn("n", F.size("s"))
-    days = F.transform("s", lambda x: x["day"])
-    lags = p.select("pixel_id", "n", days.alias("days")).where("n > 1")
-    gaps = lags.select("pixel_id", "days", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("lag"))
-    # The commonest gap within a row: gaps sorted, run lengths by their ends.
-    own = F.array_sort(F.zip_with(F.slice("days", F.col("lag") + 1, F.col("n") - F.col("lag")), F.slice("days", F.lit(1), F.col("n") - F.col("lag")), lambda a, b: a - b))
-    counted = gaps.select("pixel_id", "lag", own.alias("g"))
-    best = F.aggregate(
-        "g",
-        F.struct(F.lit(-1).cast("long").alias("v"), F.lit(0).alias("run"), F.lit(-1).cast("long").alias("best"), F.lit(0).alias("top")),
-        lambda a, x: F.transform(F.array(F.when(x == a["v"], a["run"] + 1).otherwise(1)), lambda r: F.struct(x.alias("v"), r.alias("run"), F.when(r > a["top"], x).otherwise(a["best"]).alias("best"), F.greatest(r, a["top"]).alias("top")))[0],
-        lambda a: a["best"],
-    )
-    lag = counted.where(best > least_gap).groupBy("pixel_id").agg(F.min("lag").alias("lag"))
-    joined = p.join(lag, "pixel_id", "left").where("n > 1")
+    p = p.where("n > 1").withColumn("days", F.transform("s", lambda x: x["day"]))
+
+    def commonest(lag):
+        """Gaps of the lag in order; of the longest run of equal ones, the first."""
+        gaps = F.array_sort(F.zip_with(F.slice("days", lag + 1, F.col("n") - lag), F.slice("days", F.lit(1), F.col("n") - lag), lambda a, b: a - b))
+        start = F.struct(F.lit(-1).cast("long").alias("v"), F.lit(0).alias("run"), F.lit(-1).cast("long").alias("best"), F.lit(0).alias("top"))
+
+        def step(a, x):
+            run = F.when(x == a["v"], a["run"] + 1).otherwise(1)
+            return F.transform(F.array(run), lambda r: F.struct(x.alias("v"), r.alias("run"), F.when(r > a["top"], x).otherwise(a["best"]).alias("best"), F.greatest(r, a["top"]).alias("top")))[0]
+
+        return F.aggregate(gaps, start, step, lambda a: a["best"])
+
+    first = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), F.lit(None).cast("int"), lambda found, k: F.when(found.isNotNull(), found).when(commonest(k) > least_gap, k))
+    joined = p.withColumn("lag", first)
     k = F.coalesce("lag", F.lit(1))
     a, b = F.slice("s", k + 1, F.col("n") - k), F.slice("s", F.lit(1), F.col("n") - k)
     both = F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))

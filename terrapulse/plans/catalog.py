@@ -46,15 +46,13 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.standard(observations(spark, sf_dir)).where("keep").drop("keep")
 
 
-def _models(df: DataFrame) -> DataFrame:
-    rows = [F.struct(F.lit(k).alias("band"), F.lit(500.0 * k).alias("intercept"), F.array(F.lit(0.001 * (k + 1)), *(F.lit(w) for w in _WEIGHTS)).alias("weights")) for k, _ in _B]
-    return df.select("pixel_id").distinct().select("pixel_id", F.inline(F.array(*rows)))
+def _models() -> dict:
+    return {"intercept": scoring.by_band(*(500.0 * k for k, _ in _B)), "weights": scoring.by_band(*(F.array(F.lit(0.001 * (k + 1)), *map(F.lit, _WEIGHTS)) for k, _ in _B))}
 
 
-def _norms(df: DataFrame) -> DataFrame:
+def _norms() -> dict:
     """Band 3 has norm 0 and is skipped."""
-    rows = [F.struct(F.lit(k).alias("band"), F.lit(0.0 if k == 3 else 1000.0 + 100 * k).alias("norm")) for k, _ in _B]
-    return df.select("pixel_id").distinct().select("pixel_id", F.inline(F.array(*rows)))
+    return {"norm": scoring.by_band(*(0.0 if k == 3 else 1000.0 + 100 * k for k, _ in _B))}
 
 
 _TERMS = "+".join(f"{w} * {f}({k} * {_OMEGA} * day)" for w, (k, f) in zip(_WEIGHTS, [(k, f) for k in (1, 2, 3) for f in ("cos", "sin")]))
@@ -272,7 +270,7 @@ def scalar_functions(spark, sf_dir):
 @_query(_SCORED + " SELECT pixel_id, band, seq, round(predicted, 4) AS predicted, round(abs(residual), 4) AS absolute FROM scored")
 def predictions(spark, sf_dir):
     kept = _kept(spark, sf_dir)
-    return scoring.residuals(kept, _models(kept)).select("pixel_id", "band", "seq", F.round("predicted", 4).alias("predicted"), F.round(F.abs("residual"), 4).alias("absolute"))
+    return scoring.residuals(kept, _models()).select("pixel_id", "band", "seq", F.round("predicted", 4).alias("predicted"), F.round(F.abs("residual"), 4).alias("absolute"))
 
 
 @_query(
@@ -282,7 +280,7 @@ def predictions(spark, sf_dir):
 )
 def model_scores(spark, sf_dir):
     kept = _kept(spark, sf_dir)
-    return _rounded(scoring.score(scoring.residuals(kept, _models(kept)), 8), 4, "rmse", "magnitude")
+    return _rounded(scoring.score(scoring.residuals(kept, _models()), 8), 4, "rmse", "magnitude")
 
 
 _MAGNITUDES = _SCORED + ", mags AS (SELECT pixel_id, day, seq, sum(pow(residual / norm, 2)) AS magnitude FROM scored WHERE band BETWEEN 1 AND 5 AND norm > 0 GROUP BY ALL)"
@@ -291,7 +289,7 @@ _MAGNITUDES = _SCORED + ", mags AS (SELECT pixel_id, day, seq, sum(pow(residual
 @_query(_MAGNITUDES + " SELECT pixel_id, day, seq, round(magnitude, 4) AS magnitude FROM mags")
 def change_magnitudes(spark, sf_dir):
     kept = _kept(spark, sf_dir)
-    return _rounded(scoring.change_magnitudes(scoring.residuals(kept, _models(kept)), _norms(kept)), 4, "magnitude")
+    return _rounded(scoring.change_magnitudes(scoring.residuals(kept, _models()), _norms()), 4, "magnitude")
 
 
 @_query(
@@ -301,7 +299,7 @@ SELECT pixel_id, day, seq, least > 15.086272469388987 AS change, least <= 15.086
 )
 def forward_peeks(spark, sf_dir):
     kept = _kept(spark, sf_dir)
-    m = scoring.change_magnitudes(scoring.residuals(kept, _models(kept)), _norms(kept))
+    m = scoring.change_magnitudes(scoring.residuals(kept, _models()), _norms())
     return scoring.detections(m, 6).select("pixel_id", "day", "seq", "change", "outlier")
 
 
@@ -319,7 +317,7 @@ def nearest_in_season(spark, sf_dir):
 def seasonal_rmse(spark, sf_dir):
     kept = _kept(spark, sf_dir)
     near = scoring.nearest_in_season(kept, F.lit(730000)).drop("place", "distance", "rank")
-    return scoring.residuals(near, _models(kept)).groupBy("pixel_id", "band").agg(F.round(scoring.seasonal_rmse(F.col("residual")), 4).alias("rmse"))
+    return scoring.residuals(near, _models()).groupBy("pixel_id", "band").agg(F.round(scoring.seasonal_rmse(F.col("residual")), 4).alias("rmse"))
 
 
 @_query(
@@ -330,8 +328,7 @@ SELECT pixel_id, round(drift, 4) AS drift, drift < 15.086272469388987 AS stable
 )
 def stability(spark, sf_dir):
     kept = _kept(spark, sf_dir)
-    models, norms = _models(kept), _norms(kept).where("norm > 0")
-    return _rounded(scoring.stability(scoring.residuals(kept, models), models, norms), 4, "drift")
+    return _rounded(scoring.stability(scoring.residuals(kept, _models()), _models(), _norms()), 4, "drift")
 
 
 @_query(
@@ -394,16 +391,107 @@ def packed_round_trip(spark, sf_dir):
     return out.select("pixel_id", "day", F.col("qa").cast("int").alias("qa"), F.round("green", 6).alias("green"), "seq")
 
 
-@_query()
+def _lasso_sql(terms: int) -> str:
+    """CTEs that fit the rows of ``obs_fit`` (pixel_id, day, bands): cyclic coordinate descent, one coordinate a step of the recursion.
+
+    ``fits`` has pixel_id, band, n, iterations, intercept, w (seven weights) and rmse.
+    """
+    waves = [f"{f}({k} * {_OMEGA} * day)" if 2 * k < terms else "0.0::DOUBLE" for k in (1, 2, 3) for f in ("cos", "sin")]
+    x = ", ".join(f"{e} AS x{i}" for i, e in enumerate(["day::DOUBLE", *waves]))
+    gram = ", ".join("[" + ", ".join(f"covar_pop(x{i}, x{j}) * count(*)" for j in range(7)) + "]" for i in range(7))
+    return f"""lm AS ({" UNION ALL ".join(f"SELECT pixel_id, day, {k} AS band, {b} AS y FROM obs_fit" for k, b in _B)}),
+lx AS (SELECT *, {x} FROM lm),
+gr AS (SELECT pixel_id, band, count(*)::DOUBLE AS n, [{gram}] AS g, [{", ".join(f"covar_pop(x{i}, y) * count(*)" for i in range(7))}] AS xy,
+  var_pop(y) * count(*) AS yy, [{", ".join(f"avg(x{i})" for i in range(7))}] AS xm, avg(y) AS ym FROM lx GROUP BY ALL),
+cd AS (
+  SELECT pixel_id, band, 1 AS j, 1 AS cycle, [0.0::DOUBLE FOR i IN range(7)] AS w, xy AS c, 0.0::DOUBLE AS step, 0.0::DOUBLE AS top, false AS done FROM gr
+  UNION ALL
+  SELECT pixel_id, band, CASE WHEN j = 7 THEN 1 ELSE j + 1 END, CASE WHEN j = 7 AND NOT fin THEN cycle + 1 ELSE cycle END, w, c, CASE WHEN j = 7 THEN 0.0 ELSE step END, CASE WHEN j = 7 THEN 0.0 ELSE top END, fin
+  FROM (
+    SELECT *, j = 7 AND step <= 1e-4 * greatest(top, 1.0)
+        AND rr / (2 * n) + list_sum([abs(v) FOR v IN w]) - (sc * (yy - fitted) / n - sc * sc * rr / (2 * n)) <= 1e-4 * yy / n AS fin
+    FROM (
+      SELECT *, yy - fitted - list_dot_product(w, c) AS rr, least(1.0, n / greatest(list_max([abs(v) FOR v IN c]), 1e-300)) AS sc
+      FROM (
+        SELECT *, list_dot_product(w, xy) AS fitted
+        FROM (
+          SELECT pixel_id, band, j, cycle, n, yy, xy, [CASE WHEN i = j THEN new ELSE w[i] END FOR i IN range(1, 8)] AS w,
+            [c[i] - g[i][j] * (new - w[j]) FOR i IN range(1, 8)] AS c, greatest(step, abs(new - w[j])) AS step, greatest(top, abs(new)) AS top
+          FROM (
+            SELECT cd.*, n, yy, xy, g, CASE WHEN g[j][j] > 0 THEN sign(c[j] + g[j][j] * w[j]) * greatest(abs(c[j] + g[j][j] * w[j]) - n, 0.0) / g[j][j] ELSE 0.0 END AS new
+            FROM cd JOIN gr USING (pixel_id, band) WHERE NOT done AND cycle <= 1000
+          )
+        )
+      )
+    )
+  )
+),
+ended AS (SELECT pixel_id, band, cycle, w FROM cd WHERE done OR cycle > 1000),
+fits AS (
+  SELECT pixel_id, band, any_value(n) AS n, any_value(cycle) AS iterations, any_value(ym - list_dot_product(w, xm)) AS intercept, any_value(w) AS w,
+    CASE WHEN any_value(n) > {terms} THEN sqrt(sum(pow(y - ym - list_dot_product(w, [{", ".join(f"x{i} - xm[{i + 1}]" for i in range(7))}]), 2)) / (any_value(n) - {terms})) END AS rmse
+  FROM lx JOIN gr USING (pixel_id, band) JOIN ended USING (pixel_id, band) GROUP BY pixel_id, band
+)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_W = ", ".join(f"round(w[{i + 1}], 4) + 0.0 AS w{i}" for i in range(7))
+
+
+@_query(_recursive(_KEPT) + f", obs_fit AS (SELECT * FROM kept), {_lasso_sql(8)} SELECT pixel_id, band::INT AS band, iterations::INT AS iterations, round(intercept, 1) + 0.0 AS intercept, {_W}, round(rmse, 4) AS rmse FROM fits")
 def lasso_fits(spark, sf_dir):
+    """Fits of all kept observations of a pixel, one row a band; no rmse without degrees of freedom."""
     kept = masks.standard(observations(spark, sf_dir)).where("keep")
-    return detection.fit_series(detection.pack(kept), 8)
-
-
-@_query()
+    fits = detection.fit_series(detection.pack(kept), 8)
+    finite = F.when(F.isnan("rmse") | (F.col("rmse") == float("inf")), None).otherwise(F.round("rmse", 4))
+    return fits.select("pixel_id", "band", "iterations", (F.round("intercept", 1) + 0.0).alias("intercept"), *((F.round(F.col("weights")[i], 4) + 0.0).alias(f"w{i}") for i in range(7)), finite.alias("rmse"))
+
+
+def _eliminated(source: str, columns: int) -> str:
+    """Rows of ``source`` with their matrix m (five rows) brought to the unit matrix and what stands beside it, by Gauss-Jordan steps."""
+    for p in range(1, 6):
+        row = f"[v / m[{p}][{p}] FOR v IN m[{p}]]"
+        source = f"(SELECT * REPLACE ([CASE WHEN i = {p} THEN pr ELSE [m[i][k] - m[i][{p}] * pr[k] FOR k IN range(1, {columns + 1})] END FOR i IN range(1, 6)] AS m) FROM (SELECT * EXCLUDE (pr), {row} AS pr FROM {source}))"
+    return source
+
+
+def _robust_sql() -> str:
+    """CTEs that fit ``kept`` rows: least squares, then four rounds of bisquare weights; ``rounds4`` has pixel_id, band and the coefficients."""
+    products = ", ".join("[" + ", ".join([f"sum(w * x[{i}] * x[{j}])" for j in range(1, 6)] + [f"sum(w * x[{i}] * y)"]) + "]" for i in range(1, 6))
+    squares = ", ".join("[" + ", ".join([f"sum(x[{i}] * x[{j}])" for j in range(1, 6)] + [f"{float(i == j)}::DOUBLE" for j in range(1, 6)]) + "]" for i in range(1, 6))
+    out = [
+        f"yr AS (SELECT *, {_OMEGA} / ceil((max(day) OVER w - min(day) OVER w) / 365.2425::DOUBLE) AS slow, count(*) OVER w AS n FROM kept WINDOW w AS (PARTITION BY pixel_id))",
+        "rx AS (" + " UNION ALL ".join(f"SELECT pixel_id, seq, {k} AS band, {BANDS[k]} AS y, n, [cos({_OMEGA} * day), sin({_OMEGA} * day), cos(slow * day), sin(slow * day), 1.0] AS x FROM yr WHERE n > 5" for k in (1, 4)) + ")",
+        f"iv AS (SELECT pixel_id, band, m FROM {_eliminated(f'(SELECT pixel_id, band, [{squares}] AS m, []::DOUBLE[] AS pr FROM rx GROUP BY ALL)', 10)})",
+        "ry AS (SELECT rx.*, 1 / sqrt(1 - least(0.9999, list_sum([x[i] * list_dot_product(m[i][6:10], x) FOR i IN range(1, 6)]))) AS factor FROM rx JOIN iv USING (pixel_id, band))",
+        "w0 AS (SELECT *, 1.0::DOUBLE AS w FROM ry)",
+    ]
+    for k in range(5):
+        out.append(f"s{k} AS (SELECT pixel_id, band, [m[i][6] FOR i IN range(1, 6)] AS beta FROM {_eliminated(f'(SELECT pixel_id, band, [{products}] AS m, []::DOUBLE[] AS pr FROM w{k} GROUP BY ALL)', 6)})")
+        if not k:
+            out.append("rounds0 AS (SELECT s0.*, false AS done FROM s0)")
+        else:
+            out.append(f"rounds{k} AS (SELECT pixel_id, band, CASE WHEN o.done THEN o.beta ELSE s{k}.beta END AS beta, o.done OR list_max([abs(s{k}.beta[i] - o.beta[i]) FOR i IN range(1, 6)]) < 1e-8 AS done FROM s{k} JOIN rounds{k - 1} o USING (pixel_id, band))")
+        if k < 4:
+            residual = f"(SELECT ry.*, beta, done, abs(y - list_dot_product(x, beta)) * factor AS r FROM ry JOIN rounds{k} USING (pixel_id, band))"
+            out.append(f"r{k} AS (SELECT *, row_number() OVER (PARTITION BY pixel_id, band ORDER BY r) AS place FROM {residual})")
+            out.append(f"d{k} AS (SELECT pixel_id, band, greatest(2.220446049250313e-16 * stddev_pop(y), median(r) FILTER (place > 4) / 0.6745::DOUBLE) AS scale FROM r{k} GROUP BY ALL)")
+            out.append(f"w{k + 1} AS (SELECT r{k}.* EXCLUDE (beta, done, r, place), CASE WHEN r / scale / 4.685::DOUBLE < 1 THEN pow(1 - pow(r / scale / 4.685::DOUBLE, 2), 2) ELSE 0.0 END AS w FROM r{k} JOIN d{k} USING (pixel_id, band))")
+    return ", ".join(out)
+
+
+_C = ", ".join(f"round(any_value(beta)[{i + 1}], 3) + 0.0 AS c{i}" for i in range(5))
+
+
+@_query(_KEPT + f", {_robust_sql()} SELECT pixel_id, band::INT AS band, {_C}, round(sqrt(sum(pow(y - list_dot_product(x, beta), 2)) / (any_value(n) - 5)), 3) AS rmse FROM ry JOIN rounds4 USING (pixel_id, band) GROUP BY pixel_id, band")
 def robust_fits(spark, sf_dir):
+    """Robust fits of all kept observations of a pixel in the screened bands."""
     kept = masks.standard(observations(spark, sf_dir)).where("keep")
-    return detection.robust_series(detection.pack(kept))
+    fits = detection.robust_series(detection.pack(kept))
+    return fits.select("pixel_id", "band", *((F.round(F.col("coefficients")[i], 3) + 0.0).alias(f"c{i}") for i in range(5)), F.round("rmse", 3).alias("rmse"))
 
 
 @_query()
@@ -418,15 +506,34 @@ def pixel_results(spark, sf_dir):
     return detection.detect_changes(observations(spark, sf_dir))
 
 
-def _single(name: str):
+def _single(name: str, oracle: str | None = None):
     def f(spark, sf_dir):
-        return detection.models(detection.detect_packed(detection.pack(observations(spark, sf_dir)), procedure=name))
+        out = detection.models(detection.detect_packed(detection.pack(observations(spark, sf_dir)), procedure=name))
+        out = out.select("*", F.posexplode("bands").alias("band", "x")).drop("bands")
+        fit = [(F.round(F.col("x.coefficients")[i], 4) + 0.0).alias(f"w{i}") for i in range(7)]
+        fields = ("pixel_id", "procedure", "model_idx", "start_day", "end_day", "break_day", "observation_count", "change_probability", "curve_qa", "band")
+        return out.select(*fields, F.round("x.rmse", 4).alias("rmse"), F.round("x.magnitude", 4).alias("magnitude"), (F.round("x.intercept", 1) + 0.0).alias("intercept"), *fit)
 
     f.__name__ = f"procedure_{name}"
-    return _query()(f)
+    return _query(oracle)(f)
+
+
+def _single_sql(name: str, code: int, masked: str) -> str:
+    """The oracle of a procedure of one fit over the rows that a mask keeps; ``masked`` is the mask query's oracle."""
+    head, _, last = masked.rpartition("SELECT pixel_id, seq, day, k AND")
+    keep = last.rpartition(" AS keep FROM s")[0]
+    return (
+        _recursive(head)
+        + f""", m2 AS (SELECT *, k AND{keep} AS chosen FROM s), obs_fit AS (SELECT * FROM m2 WHERE chosen QUALIFY count(*) OVER (PARTITION BY pixel_id) >= 12), {_lasso_sql(4)},
+ends AS (SELECT pixel_id, min(day) AS start_day, max(day) AS end_day FROM obs GROUP BY pixel_id)
+SELECT pixel_id, '{name}' AS procedure, 0::INT AS model_idx, start_day, end_day, end_day AS break_day, n::INT AS observation_count, 0.0::DOUBLE AS change_probability, {code}::SMALLINT AS curve_qa,
+  band::INT AS band, round(rmse, 4) AS rmse, 0.0::DOUBLE AS magnitude, round(intercept, 1) + 0.0 AS intercept, {_W} FROM fits JOIN ends USING (pixel_id)"""
+    )
 
 
-procedure_snow, procedure_insufficient, procedure_standard = map(_single, ("snow", "insufficient", "standard"))
+procedure_snow = _single("snow", _single_sql("snow", 54, ORACLES["mask_snow"]))
+procedure_insufficient = _single("insufficient", _single_sql("insufficient", 44, ORACLES["mask_insufficient"]))
+procedure_standard = _single("standard")
 
 
 @_query()

@@ -26,10 +26,11 @@ ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpri
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixel_id, seq, day, seven bands, qa."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ORDER)).cast("long")
+    # The series is named before the window, so that the exchange by it serves later windows by pixel too.
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("pixel_id", F.col("l_suppkey"))
+    place = F.row_number().over(Window.partitionBy("pixel_id").orderBy(*ORDER)).cast("long")
     bands = [F.expr(f"CAST({e} AS DOUBLE)").alias(b) for b, e in BANDS_SQL.items()]
-    return lines.select(F.col("l_suppkey").alias("pixel_id"), place.alias("seq"), ordinal(F.col("l_shipdate")).alias("day"), *bands, F.expr(QA_SQL).cast("int").alias("qa"))
+    return lines.select("pixel_id", place.alias("seq"), ordinal(F.col("l_shipdate")).alias("day"), *bands, F.expr(QA_SQL).cast("int").alias("qa"))
 
 
 #: The oracle's observations, as the first tables of a WITH.

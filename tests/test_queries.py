@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapulse import api
 from terrapulse.functions import scalars
-from terrapulse.operators import detection, masks
+from terrapulse.operators import detection, masks, scoring
 from terrapulse.plans import catalog
 from terrapulse.sources import files
 from terrapulse.sources.tables import observations
@@ -56,6 +56,40 @@ def test_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() >= 0
 
 
+@data
+def test_models_of_pixels_are_as_literal_ones(spark):
+    """Models and norms from tables, joined by pixel and band, give what literals give."""
+    kept = masks.standard(observations(spark, DATA)).where("keep").drop("keep")
+    pixels = kept.select("pixel_id").distinct()
+    weights = [[0.001 * (k + 1), 10.0, -5.0, 3.0, 2.0, 1.0, 0.5] for k in range(7)]
+    models = pixels.select("pixel_id", F.inline(F.array(*(F.struct(F.lit(k).alias("band"), F.lit(500.0 * k).alias("intercept"), F.array(*map(F.lit, w)).alias("weights")) for k, w in enumerate(weights)))))
+    norms = pixels.select("pixel_id", F.inline(F.array(*(F.struct(F.lit(k).alias("band"), F.lit(0.0 if k == 3 else 1000.0 + 100 * k).alias("norm")) for k in range(7)))))
+    scored = scoring.residuals(kept, models)
+    for name, got in (("change_magnitudes", scoring.change_magnitudes(scored, norms)), ("stability", scoring.stability(scored, models, norms)), ("model_scores", scoring.score(scored, 8))):
+        want = {tuple(r[:-2]) if name != "change_magnitudes" else tuple(r[:-1]): r for r in catalog.QUERIES[name](spark, DATA).collect()}
+        rows = got.collect()
+        assert len(rows) == len(want) > 0
+        key = {"change_magnitudes": 3, "stability": 1, "model_scores": 3}[name]
+        own = {tuple(r[:key]): r for r in want.values()}
+        for r in rows:
+            for a, b in zip(tuple(r)[key:], tuple(own[tuple(r[:key])])[key:]):
+                assert a == b or a == pytest.approx(b, abs=1e-4)
+
+
+@data
+def test_first_of_day_with_null_days(spark):
+    rows = [(1, None, 1, True), (1, None, 2, True), (1, 5, 3, False), (1, 5, 4, True), (1, 5, 5, True), (2, 5, 1, True)]
+    got = masks.first_of_day(spark.createDataFrame(rows, "pixel_id INT, day INT, seq INT, keep BOOLEAN"), "keep")
+    assert [r["keep"] for r in got.orderBy("pixel_id", "seq").collect()] == [True, False, False, True, False, True]
+
+
+@data
+@pytest.mark.parametrize("name", ["mask_insufficient", "model_scores", "change_magnitudes", "stability", "adjusted_variogram"])
+def test_one_scan_and_one_exchange(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
 @golden
 def test_csv_to_wide_csv(spark, tmp_path):
     obs = files.read_observations(spark, GOLDEN["observations"])
