@@ -86,6 +86,28 @@ def test_lasso_satisfies_its_optimality_conditions():
                 assert abs(c[j, b]) <= 1 + 1e-6
 
 
+@pytest.mark.parametrize("terms", [4, 6, 8])
+def test_few_lanes_agree_with_many(terms, monkeypatch):
+    """Plain numbers and arrays take the same steps: equal weights and as many cycles."""
+    windows = [synthetic(n, seed=n) for n in (12, 24, 60, 150)]
+    few = [lasso.fit_many([(s.days, s.bands, terms)])[0] for s in windows]
+    monkeypatch.setattr(lasso, "FEW_LANES", 0)
+    for s, f in zip(windows, few):
+        (g,) = lasso.fit_many([(s.days, s.bands, terms)])
+        assert f.iterations.tolist() == g.iterations.tolist() and f.weights == pytest.approx(g.weights, abs=1e-12)
+        assert f.intercept == pytest.approx(g.intercept, abs=1e-6) and f.rmse == pytest.approx(g.rmse, nan_ok=True)
+
+
+def test_missing_and_constant_values_fit_alike(monkeypatch):
+    s = synthetic(40)
+    s.bands[2] = 7.0
+    s.bands[3, 5] = np.nan
+    (f,) = lasso.fit_many([(s.days, s.bands, 4)])
+    monkeypatch.setattr(lasso, "FEW_LANES", 0)
+    (g,) = lasso.fit_many([(s.days, s.bands, 4)])
+    assert f.weights == pytest.approx(g.weights, nan_ok=True) and f.iterations.tolist() == g.iterations.tolist()
+
+
 def test_lanes_agree_with_single_robust_fits():
     windows = [synthetic(n, seed=n) for n in (30, 41, 75)]
     limits = np.array([40.0, 40.0])
