@@ -3,13 +3,15 @@
 Writing: payloads are digested in the JVM; of equal payloads the one with the smallest id is the response and the others revisit it.
 The text sink writes each record as one row that ends in the record terminator, so files are committed like any other Spark output.
 
-Reading: each archive is scanned by a task that emits every place where a record header parses, with the offset that its
-Content-Length makes its successor. A payload may hold such places too; pointer jumping (doubling) from each file's start over the
-emitted links tells the records that the chain reaches, and only those are kept. A chain that breaks off (a truncated or
-damaged file) raises, unless ``strict`` is off, which keeps the records before the break.
+Reading: each archive is scanned by a task that finds every place where a record header parses, with the offset that its
+Content-Length makes its successor. A payload may hold such places too; pointer jumping (doubling) from the file's start over these
+links tells the records that the chain reaches, and only those are kept. A chain never leaves its file, so the jumps are made in arrays of the task that
+has scanned it, and nothing is shuffled. A chain that breaks off (a truncated or damaged file) raises, unless ``strict`` is off, which keeps the
+records before the break.
 
 Null payloads count as empty; null urls are written as an empty target. Null ids are written as empty and come back as null; they're never
-revisited. Each of repeated rows becomes a record; repeated rows of the smallest id are all responses.
+revisited. Each of repeated rows becomes a record; repeated rows of the smallest id are all responses. An empty table gives an empty archive. A file is read
+whole by one task, as gzip streams can't be split, so ``rows_a_file`` bounds what a task holds; payloads of any length are written and read whole.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapulse.llm.common import discard, materialize, scratch
+from terrapulse.llm.common import materialize, remove, scratch
 
 MAGIC, END, CRLF = b"WARC/1.1\r\n", b"\r\n\r\n", "\r\n"
 #: Payload rows a file, so that an archive stays small enough to be read whole by one task.
@@ -50,8 +52,8 @@ def typed(pages: DataFrame, id_col: str, payload_col: str, url_col: str | None,
     one = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload"))
     one = one.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     keys = one.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("times"))
-    keys = keys.where("times > 1 and first is not null").drop("times")
-    # The one shuffle of the payloads; a payload that many rows share is a skewed join, which is split.
+    # Only what several rows share is written; the join then has exchanges on both sides, so that a payload which many rows share is split.
+    keys = materialize(pages.sparkSession, keys.where("times > 1 and first is not null").drop("times"), "warc-keys")
     return one.join(keys, ["digest", "bytes"], "left").select("id", "url", "payload", "bytes", "digest", F.col("first").alias("refers_to"))
 
 
@@ -101,11 +103,11 @@ def candidates(content: bytes) -> Iterator[tuple[int, int, bytes, int, int]]:
             yield m.start(), end + len(END), m[1], m.end(), end
 
 
-LINK = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType()), ("at", T.LongType()), ("next", T.LongType()), ("size", T.LongType()), ("id", T.LongType()), ("url", T.StringType()), ("bytes", T.LongType()), ("digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("sound", T.BooleanType()))])
+LINK = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType()), ("at", T.LongType()), ("next", T.LongType()), ("size", T.LongType()), ("id", T.LongType()), ("url", T.StringType()), ("bytes", T.LongType()), ("digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("sound", T.BooleanType()), ("reached", T.BooleanType()))])
 
 
 def links(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
-    """One row for each candidate record of the archives under ``path`` whose names match ``pattern``."""
+    """One row for each candidate record of the archives under ``path`` whose names match ``pattern``, and whether its file's chain reaches it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def number(header: dict, key: bytes) -> int | None:
@@ -126,48 +128,42 @@ def links(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" and sound else said
                     size = len(payload) if kind == "response" else number(h, b"WARC-Payload-Length")
                     rows.append((file.as_py(), at, after, len(data), number(h, b"WARC-Record-ID"), h.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), size, digest, kind, number(h, b"WARC-Refers-To"), sound and digest == said))
-                columns = list(zip(*rows)) or [[]] * len(LINK)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+                if data and not rows:  # so that a file without any record is seen to be damaged
+                    rows.append((file.as_py(), -1, -1, len(data), None, None, None, None, None, None, False))
+                columns = list(zip(*rows)) or [[]] * (len(LINK) - 1)
+                columns.append(reachable(np.array(columns[1], np.int64), np.array(columns[2], np.int64)))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], LINK.names)
 
     return files.mapInArrow(run, LINK)
 
 
-def reachable(nodes: DataFrame) -> DataFrame:
-    """The rows of ``links`` that the chain from offset 0 of their file reaches, by pointer jumping.
+def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of the places ``at``, in order, the chain of successors from offset 0 reaches, by pointer jumping.
 
-    Round r knows the successor 2 ** r records on. What is reached doubles every round: the reached set joins the jumps once, then
-    the jumps join themselves. Rounds end in the shared folder. Both sides of each join grow with the archives, and paths that repeat
-    compress so well that shuffled bytes say little of the size in memory, so no side is left to be broadcast.
+    Round r knows the successor 2 ** r records on; what is reached doubles every round. A successor that is no place ends the chain.
     """
-    spark = nodes.sparkSession
-    jumps = materialize(spark, nodes.select("file", "at", "next"), "warc-jumps")
-    reached = materialize(spark, nodes.where("at = 0").select("file", "at"), "warc-reached")
-    known = reached.count()
+    n = len(at)
+    jump = np.append(np.searchsorted(at, after), n)
+    jump[:-1][at[np.minimum(jump[:-1], max(n - 1, 0))] != after] = n
+    reached = np.append(at == 0, False)
     while True:
-        ahead = reached.join(jumps.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at")).join(nodes.select("file", "at").hint("merge"), ["file", "at"], "left_semi")
-        more = materialize(spark, reached.union(ahead).distinct(), "warc-reached")
-        discard(spark, reached)
-        reached, before, known = more, known, more.count()
-        if known == before:
-            discard(spark, jumps)
-            return nodes.join(reached.hint("merge"), ["file", "at"], "left_semi")
-        further = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("beyond"))
-        doubled = materialize(spark, jumps.join(further.hint("merge"), ["file", "next"]).select("file", "at", F.col("beyond").alias("next")), "warc-jumps")
-        discard(spark, jumps)
-        jumps = doubled
+        more = reached.copy()
+        more[jump[reached]] = True
+        if (more == reached).all():
+            return reached[:-1]
+        reached, jump = more, jump[jump]
 
 
 def read(spark: SparkSession, path: str, strict: bool = True, pattern: str = "part-*") -> DataFrame:
     """id, url, bytes, digest, record_type, refers_to of every record in the archives under ``path`` whose names match ``pattern``."""
     nodes = materialize(spark, links(spark, path, pattern), "warc-links")
-    kept = reachable(nodes)
+    kept = nodes.where("reached")
     if strict:
-        kept = materialize(spark, kept, "warc-records")
-        bad = kept.groupBy("file").agg(F.max("next").alias("end"), F.max("size").alias("size"), F.min("sound").alias("sound")).where("end <> size or not sound").limit(1).collect()
-        starts = nodes.groupBy("file").agg(F.min("at").alias("at")).where("at <> 0").limit(1).collect()
-        if bad or starts:
-            raise ValueError(f"a chain of records breaks off in {(bad or starts)[0]['file']}")
+        ends = nodes.groupBy("file").agg(F.max(F.when(F.col("reached"), F.col("next"))).alias("end"), F.max("size").alias("size"), F.min(~F.col("reached") | F.col("sound")).alias("sound"))
+        bad = ends.where("end is null or end <> size or not sound").limit(1).collect()
+        if bad:
+            raise ValueError(f"a chain of records breaks off in {bad[0]['file']}")
     else:
         kept = kept.where("sound")
     return kept.select("id", "url", "bytes", "digest", "record_type", "refers_to")
@@ -179,6 +175,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = scratch(spark, "warc")
     write(pages, path)
     out = read(spark, path)
+    remove(spark, path)  # what was read of it has been written
     return out.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
