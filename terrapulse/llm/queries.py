@@ -25,7 +25,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), blocklist=url_filter.unwanted())
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

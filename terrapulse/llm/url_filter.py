@@ -2,81 +2,102 @@
 
 A rule is (host, path prefix, verdict). It fits its host and all subdomains where the url's path starts with the
 rule's; the longest rule wins, then the first listed. Rule strings are host + path. Null urls and urls without ``://`` have an empty
-host and path, which no rule fits. Urls that no rule fits get the verdict of the blocklist (whole host or host + path
-strings, kept in the same array), which is ``allow`` where it doesn't list them. Repeated rows are judged one by one.
+host and path, which no rule fits. Urls that no rule fits get the verdict of the blocklist ((host, path prefix) pairs that fit
+as rules do, kept in the same array), which is ``allow`` where it doesn't list them. Repeated rows are judged one by one; an empty table gives an empty result.
+
+The array is one read-only file in the shared folder. Each executor fetches it once, and all its Python workers map the same pages of it, so that a list
+of any length costs a machine its file's size once; only the head of the file is read into memory. Of a url, only suffixes of its host and prefixes of its path
+that are as long as some entry's are probed, so that very long urls cost time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import mmap
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapulse.llm.common import shipped
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: The list is a parameter that the caller holds in memory; its array must stay below this many bytes to be broadcast.
-MAX_BYTES = 256 << 20
+#: The blocklist of the registered query: hosts of unwanted kinds, bare or numbered, under the reserved example domains.
+KINDS, TOP, NUMBERS = ("ads", "casino", "cheap-pills", "free-money", "tracker"), ("com", "net", "org"), 10_000
+HEAD = 4
 
 
-@dataclass
-class DigestArray:
-    """Keys sorted by digest, with their strings in one blob. ``open`` maps it anew in each process."""
+def unwanted() -> list[tuple[str, str]]:
+    return [(f"{kind}{n or ''}.example.{top}", "") for kind in KINDS for top in TOP for n in range(NUMBERS)]
 
-    blob: bytes
-    n: int
-    lengths: tuple[int, ...]
-    _maps: dict = field(default_factory=dict, repr=False, compare=False)
 
-    def __getstate__(self):
-        return {"blob": self.blob, "n": self.n, "lengths": self.lengths, "_maps": {}}
+class DigestArray:
+    """Entries sorted by digest, in one buffer.
+
+    Layout: the numbers of entries, of shapes, and of bytes before the strings, and a zero; n uint64 digests; n + 1 int64 offsets; n int64 values; shapes
+    (lengths of host and path of the entries); then the strings.
+    """
+
+    def __init__(self, data):
+        n, shapes, self.at, _ = np.frombuffer(data, np.int64, HEAD).tolist()
+        self.data, self.n = data, n
+        self.keys = np.frombuffer(data, np.uint64, n, 8 * HEAD)
+        self.offsets = np.frombuffer(data, np.int64, n + 1, 8 * (HEAD + n))
+        self.values = np.frombuffer(data, np.int64, n, 8 * (HEAD + 2 * n + 1))
+        self.shapes: dict[int, list[int]] = {}
+        for host, path in np.frombuffer(data, np.int64, 2 * shapes, 8 * (HEAD + 3 * n + 1)).reshape(-1, 2).tolist():
+            self.shapes.setdefault(host, []).append(path)
+        self.longest = max(self.shapes, default=0)
 
     @staticmethod
-    def build(entries: list[tuple[str, str]], values: list[int]) -> DigestArray:
-        """Layout: n uint64 digests, n + 1 int64 offsets, n int32 values padded to 8, then the strings."""
+    def build(entries: list[tuple[str, str]], values: list[int]) -> bytes:
         rows = sorted((xxhash.xxh64_intdigest(key(*e)), i) for i, e in enumerate(entries))
         strings = [key(*entries[i]) for _, i in rows]
+        shapes = sorted({(len(h), len(p)) for h, p in entries})
         offsets = np.cumsum([0, *map(len, strings)]).astype(np.int64)
-        worth = np.array([values[i] for _, i in rows], np.int32).tobytes()
-        blob = np.array([h for h, _ in rows], np.uint64).tobytes() + offsets.tobytes() + worth + b"\0" * (-len(worth) % 8) + b"".join(strings)
-        if len(blob) > MAX_BYTES:
-            raise ValueError(f"the filter's array has {len(blob)} bytes; the bound for a broadcast is {MAX_BYTES}")
-        return DigestArray(blob, len(rows), tuple(sorted({len(p) for _, p in entries})))
-
-    def open(self):
-        if not self._maps:
-            m = mmap.mmap(-1, max(len(self.blob), 1))
-            m.write(self.blob)
-            n = self.n
-            self._maps["keys"] = np.frombuffer(m, np.uint64, n)
-            self._maps["offsets"] = np.frombuffer(m, np.int64, n + 1, 8 * n)
-            self._maps["values"] = np.frombuffer(m, np.int32, n, 16 * n + 8)
-            self._maps["at"] = 16 * n + 8 + (4 * n + 7) // 8 * 8
-            self._maps["map"] = m
-        return self._maps
+        numbers = [np.array([h for h, _ in rows], np.uint64), offsets, np.array([values[i] for _, i in rows], np.int64), np.array(shapes, np.int64).ravel()]
+        body = b"".join(x.tobytes() for x in numbers)
+        return np.array([len(rows), len(shapes), 8 * HEAD + len(body), 0], np.int64).tobytes() + body + b"".join(strings)
 
     def probe(self, strings: list[bytes]) -> np.ndarray:
         """The value of each string, or -1: vectorised binary search, then the stored string is compared."""
         out = np.full(len(strings), -1, np.int64)
         if not self.n or not strings:
             return out
-        m = self.open()
         digests = np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
-        at = np.searchsorted(m["keys"], digests, "left")
-        for i in np.flatnonzero(m["keys"][np.minimum(at, self.n - 1)] == digests):
+        at = np.searchsorted(self.keys, digests, "left")
+        for i in np.flatnonzero(self.keys[np.minimum(at, self.n - 1)] == digests):
             j = int(at[i])
-            while j < self.n and m["keys"][j] == digests[i]:  # equal digests of unlike strings stand side by side
-                a, b = m["offsets"][j : j + 2] + m["at"]
-                if m["map"][a:b] == strings[i]:
-                    out[i] = m["values"][j]
+            while j < self.n and self.keys[j] == digests[i]:  # equal digests of unlike strings stand side by side
+                a, b = (self.offsets[j : j + 2] + self.at).tolist()
+                if self.data[a:b] == strings[i]:
+                    out[i] = self.values[j]
                     break
                 j += 1
         return out
 
+    def candidates(self, host: str, path: str) -> Iterator[tuple[str, str]]:
+        """Every (suffix of whole labels, prefix of the path) of a url that is as long as an entry's."""
+        start = max(0, len(host) - self.longest)
+        if start:
+            start = host.find(".", start - 1) + 1 or len(host)
+        while start < len(host):
+            for n in self.shapes.get(len(host) - start, ()):
+                if n <= len(path):
+                    yield host[start:], path[:n]
+            start = host.find(".", start) + 1 or len(host)
+
+
+@lru_cache(4)
+def mapped(name: str) -> DigestArray:
+    """The array in a file that every executor has fetched; the process maps it once."""
+    with open(SparkFiles.get(name), "rb") as f:
+        return DigestArray(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
 
 def key(host: str, path: str) -> bytes:
     """Host and path with a separator that neither has."""
@@ -94,35 +115,25 @@ def split(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def candidates(host: str, path: str, lengths: tuple[int, ...]) -> Iterator[tuple[str, str]]:
-    """Every (suffix of whole labels, path prefix of a known length) of a url."""
-    while host:
-        for n in lengths:
-            if n <= len(path):
-                yield host, path[:n]
-        host = host.partition(".")[2]
-
-
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, blocklist: list[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict for every row."""
     rules = list(RULES if rules is None else rules)
     first: dict[tuple[str, str], int] = {}
     for i, (h, p, _) in enumerate(rules):
         first.setdefault((h, p), i)
-    entries = list(first) + [tuple(b) for b in blocklist if tuple(b) not in first]
-    array = DigestArray.build(entries, [first.get(e, -2) for e in entries])
-    shared = pages.sparkSession.sparkContext.broadcast(array)
+    entries = list(first) + [b for b in dict.fromkeys(map(tuple, blocklist)) if b not in first]
+    name = shipped(pages.sparkSession, "url-filter", DigestArray.build(entries, [first.get(e, -2) for e in entries]))
     one = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = shared.value
+        digest = mapped(name)
         for b in batches:
             hosts, paths, strings, owner = [], [], [], []
             for i, url in enumerate(b["url"].to_pylist()):
                 h, p = split(url)
                 hosts.append(h)
                 paths.append(p)
-                for c in candidates(h, p, digest.lengths):
+                for c in digest.candidates(h, p):
                     strings.append(key(*c))
                     owner.append(i)
             best: dict[int, tuple] = {}
@@ -154,5 +165,7 @@ WITH u AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
   FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
 )
-SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m ON s.page_id = m.page_id
+SELECT s.page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.])(ads|casino|cheap-pills|free-money|tracker)([1-9][0-9]{0,3})?[.]example[.](com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN m ON s.page_id = m.page_id
 """
