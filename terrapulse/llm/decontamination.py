@@ -7,7 +7,10 @@ bands that reach the bound are aligned. q is 8, so a q-gram is its own 64-bit ke
 Null texts count as empty and hold nothing. Items that normalise to fewer than ``MIN_CHARS`` bytes are
 looked for as whole words without edits, by a hash of all their bytes; those that normalise to nothing are in no text. Repeated rows of
 documents are judged one by one; every distinct text of an item_id is looked for,
-and the id is found once with the least edits of its texts. Items without an id are looked for as well; their id is null and comes last.
+and the id is found once with the least edits of its texts. Items without an id are looked for as well; their id is null and comes last. An empty benchmark
+is in no document, and an empty table gives an empty result. Whole texts are searched, a very long one in a slice of its own.
+
+Items are indexed in blocks of bounded bytes: the driver makes and broadcasts one block after another, and a task holds one at a time.
 """
 
 from __future__ import annotations
@@ -18,13 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapulse.llm.common import slices, splitmix, utf8
 
 Q, EDIT_RATE, MIN_CHARS, CLASS_RATIO, TABLE_BITS = 8, 0.08, 24, 1.25, 20
-#: Bytes of items that one index may hold and broadcast; more items are looked for in blocks, one pass each.
+#: Bytes of items that one index may hold and broadcast; more items are looked for in further blocks.
 MAX_BLOCK = 16 << 20
 SLICE = 2 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -237,28 +241,38 @@ class Index:
                 out[i] = min(edits, out.get(i, edits))
 
 
-def blocks(benchmark: DataFrame) -> list[Index]:
-    """Indexes over all items, none above ``MAX_BLOCK`` bytes (but for one long item)."""
+def blocks(benchmark: DataFrame, most: int = MAX_BLOCK) -> list[Broadcast]:
+    """Broadcast indexes over all items, each of about ``most`` bytes at most (but for one long item)."""
     one = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // MAX_BLOCK) or 1
-    return [Index.build([tuple(r) for r in one.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]) for i in range(n)]
+    n = -(-total // most) or 1
+    own = (one.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n))
+    return [benchmark.sparkSession.sparkContext.broadcast(Index.build([tuple(r) for r in x.distinct().collect()])) for x in own]
+
+
+def searched(indexes: list[Broadcast], texts: pa.Array) -> Iterator[tuple[Index, int, dict[int, int]]]:
+    """Index, row and its items' edits for every row of ``texts`` that holds an item; of several indexes one is held at a time."""
+    for shared in indexes:
+        index = shared.value
+        for i, j in slices(texts, SLICE):
+            for r, got in index.search(texts.slice(i, j - i)).items():
+                yield index, i + r, got
+        if len(indexes) > 1:
+            vars(shared).pop("_value", None)  # it is read again from the executor's store
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BLOCK) -> DataFrame:
     """id, contaminated, items (item ids in order), edits (least edits of each) for every row."""
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    indexes = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark)]
+    indexes = blocks(benchmark, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items: list[dict] = [{} for _ in range(b.num_rows)]
-            for i, j in slices(b["text"], SLICE):
-                for index in indexes:
-                    for r, got in index.value.search(b["text"].slice(i, j - i)).items():
-                        for k, e in got.items():
-                            key = index.value.ids[k]
-                            items[i + r][key] = min(e, items[i + r].get(key, e))
+            for index, r, got in searched(indexes, b["text"]):
+                for k, e in got.items():
+                    key = index.ids[k]
+                    items[r][key] = min(e, items[r].get(key, e))
             sorted_items = [sorted(x.items(), key=lambda p: (p[0] is None, p[0] or 0)) for x in items]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([bool(x) for x in items]), pa.array([[k for k, _ in x] for x in sorted_items], pa.list_(pa.int64())), pa.array([[e for _, e in x] for x in sorted_items], pa.list_(pa.int64()))], ["id", "contaminated", "items", "edits"])
 
@@ -268,16 +282,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    indexes = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark)]
+    indexes = blocks(benchmark)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.ones(b.num_rows, bool)
             texts = b.column(at).cast(pa.string())
-            for i, j in slices(texts, SLICE):
-                for index in indexes:
-                    keep[[i + r for r in index.value.search(texts.slice(i, j - i))]] = False
+            keep[[r for _, r, _ in searched(indexes, texts)]] = False
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
