@@ -1,11 +1,11 @@
 """Toxicity by a weighted grammar of composed finite-state transducers over clauses.
 
 A lexical transducer turns tokens into symbols: insults (seed words, and words and stems weighed on labelled rows),
-threats, targets, negations, reporting verbs, others. Five small transducers are composed into one table: negation scopes over
-the next tokens, reported speech and an addressed target hold until the clause ends, and insult and threat arcs emit their
-weight into the slot of that context. A document's score is a logistic function of its slots' weights over matched
+threats, targets, negations, reporting verbs, "only" and the like, others. Small transducers are composed into one table: negation scopes over
+the next tokens unless "only" lifts it, reported speech holds until the clause ends, and insult and threat arcs emit their
+weight into the slot of that context. A target counts in its whole clause, before and after it: a pass from the right tells each clause's start whether one comes. A document's score is a logistic function of its slots' weights over matched
 clauses. Null and empty texts match nothing and get the score of an unmatched document. Without labels of both kinds the default slot
-weights hold. Rows repeat as they come; of repeated labels the largest counts.
+weights hold. Rows repeat as they come; of repeated labels the largest counts. An empty table gives an empty result. Whole texts are read, in linear time.
 """
 
 from __future__ import annotations
@@ -23,18 +23,19 @@ from pyspark.sql import functions as F
 
 from terrapulse.llm.common import discard, fold, labelled_sample, materialize
 
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
+TOKEN = re.compile(r"[^\W_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 BREAKS = set(".!?;:\n")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, ONLY = range(7)
 SEEDS = {
     INSULT: "idiot idiots moron morons loser losers stupid scum trash worthless pathetic disgusting clown dumb fool filthy ugly".split(),
     THREAT: "kill murder hurt destroy punch stab shoot beat burn hang".split(),
     TARGET: "you your you're yours u they them he she him everyone people".split(),
     NEGATION: "not no never isn't aren't don't doesn't didn't wasn't nobody nothing without".split(),
     REPORT: "said says say wrote writes called calls quoted claims claimed reported allegedly according".split(),
+    ONLY: "only just merely simply".split(),
 }
-#: Bound on the labelled rows that arcs and weights are learned from, and on the arcs.
-SAMPLE, MAX_ARCS, LEAST_DOCS, LEAST_ODDS, NEGATION_SCOPE = 16_384, 4096, 6, 1.5, 3
+#: Bound on the labelled rows that arcs and weights are learned from; every term of theirs that passes the two least values is an arc.
+SAMPLE, LEAST_DOCS, LEAST_ODDS, NEGATION_SCOPE = 16_384, 6, 1.5, 3
 STEMS = range(4, 9)
 SLOTS = [(kind, context) for kind in (INSULT, THREAT) for context in ("plain", "targeted", "negated", "reported")]
 #: Where labels are missing: the bias, the slots, then the strongest clause.
@@ -42,8 +43,8 @@ DEFAULT = np.array([-3.0, 3, 4, -0.5, 0.5, 3, 4, -0.5, 0.5, 1.5])
 
 
 def negation(state: int, symbol: int) -> int:
-    """States are tokens of scope left."""
-    return NEGATION_SCOPE if symbol == NEGATION else max(state - 1, 0)
+    """States are tokens of scope left; a negated "only" affirms what follows."""
+    return NEGATION_SCOPE if symbol == NEGATION else 0 if symbol == ONLY else max(state - 1, 0)
 
 
 def reported(state: int, symbol: int) -> int:
@@ -65,10 +66,12 @@ def emission(symbol: int, negated: int, told: int, aimed: int) -> int:
 def compose() -> list[list[tuple[int, int]]]:
     """The product of the transducers: table[state][symbol] is (next state, slot or -1)."""
     states = list(itertools.product(range(NEGATION_SCOPE + 1), range(2), range(2)))
-    return [[(states.index((negation(n, s), reported(r, s), target(t, s))), emission(s, n, r, t)) for s in range(6)] for n, r, t in states]
+    return [[(states.index((negation(n, s), reported(r, s), target(t, s))), emission(s, n, r, t)) for s in range(7)] for n, r, t in states]
 
 
 TABLE = compose()
+#: The state of a clause in which a target stands somewhere.
+AIMED = 1
 
 
 @dataclass
@@ -98,14 +101,21 @@ class Grammar:
         out[0] = 1
         if not text:
             return out
-        tokens = TOKEN.findall(text.lower())
+        tokens = words(text)
         symbol = self.symbol
         if not any(symbol(t)[0] in (INSULT, THREAT) for t in set(tokens)):
             return out
-        state, clause, most, total = 0, 0.0, 0.0, [0.0] * len(SLOTS)
+        aimed, comes = [], 0  # of each clause from the last on
+        for t in reversed(tokens):
+            if t in BREAKS:
+                aimed.append(comes)
+                comes = 0
+            elif symbol(t)[0] == TARGET:
+                comes = 1
+        state, clause, most, total = AIMED * comes, 0.0, 0.0, [0.0] * len(SLOTS)
         for t in tokens:
             if t in BREAKS:
-                state, most, clause = 0, max(most, clause), 0.0
+                state, most, clause = AIMED * aimed.pop(), max(most, clause), 0.0
                 continue
             s, w = symbol(t)
             state, slot = TABLE[state][s]
@@ -123,9 +133,14 @@ class Grammar:
 SEED_SETS = {k: set(v) for k, v in SEEDS.items()}
 
 
+def words(text: str) -> list[str]:
+    """Lower-case tokens; a typographic apostrophe is an apostrophe."""
+    return TOKEN.findall(text.lower().replace("’", "'"))
+
+
 def terms(text: str) -> set[str]:
-    words = {t for t in TOKEN.findall(text.lower()) if len(t) > 2}
-    return words | {"^" + w[:n] for w in words for n in STEMS if len(w) >= n}
+    own = {t for t in words(text) if len(t) > 2}
+    return own | {"^" + w[:n] for w in own for n in STEMS if len(w) >= n}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
@@ -166,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, limit:
     n1, n0 = toxic.count(), clean.count()
     arcs: dict[str, float] = {}
     if n1 and n0:
-        found = _count(toxic, None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(50 * MAX_ARCS)
+        found = _count(toxic, None).where(F.col("n") >= LEAST_DOCS)
         pos = {r["term"]: r["n"] for r in found.collect()}
         neg = {r["term"]: r["n"] for r in _count(clean, frozenset(pos)).collect()}
         odds = {}
@@ -175,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, limit:
             low = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
             if low > LEAST_ODDS:
                 odds[t] = float(min(low / 3, 2.0))
-        arcs = dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:MAX_ARCS])
+        arcs = dict(sorted(odds.items()))
     grammar = Grammar(arcs)
     if n1 and n0:
         shared = spark.sparkContext.broadcast(grammar)
