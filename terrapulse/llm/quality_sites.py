@@ -3,8 +3,10 @@
 A logistic classifier on the rule statistics (fitted on a bounded, hash-ordered sample of labelled rows) gives each
 document a likelihood ratio. Labelled counts are summed by host and by path within host over all labels; each level's
 strength is set by the spread between its groups (method of moments) and shrinks sparse groups toward the level above. The result
-adds both on the log-odds scale. Null hosts and paths are groups of their own. Null texts count as empty. Without labels of both kinds the
-evidence is 0 and every prior is one half. Repeated rows are judged one by one; of repeated labels the largest counts.
+adds both on the log-odds scale. A document's own label is left out of the counts of its host and path, so that its prior rests on other documents alone.
+Null hosts and paths are groups of their own. Null texts count as empty. Without labels of both kinds the
+evidence is 0 and without labels every prior is one half. Repeated rows are judged one by one and counted once a doc_id, host and path; of repeated labels the
+largest counts. An empty table gives an empty result. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import labelled_sample
+from terrapulse.llm.common import labelled_sample, materialize
 from terrapulse.llm.quality_rules import FEATURES, statistics
 from terrapulse.llm.toxicity import logistic
 
@@ -67,21 +69,36 @@ def strength(groups: DataFrame, n: str, k: str, center: str) -> float:
     return float(np.clip(v / spread - 1 if spread > 0 else STRONGEST, WEAKEST, STRONGEST))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
-    """host, path, prior (path's shrunk rate of good rows), and the global rate."""
+def named(column: Column) -> Column:
+    """A group's key: null is none of the strings."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
+def truth(labels: DataFrame) -> DataFrame:
+    """_id, _good (0 or 1) of every labelled id."""
     one = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_good"))
-    keyed = docs.select(F.col("doc_id").alias("_id"), F.coalesce(host, F.lit("\0")).alias("host"), F.coalesce(path, F.lit("\0")).alias("path"))
-    good = (F.col("_good") > 0).cast("int")
-    paths = keyed.join(one, "_id", "left").groupBy("host", "path").agg(F.count("_good").alias("n"), F.coalesce(F.sum(good), F.lit(0)).alias("k"))
+    return one.select("_id", (F.col("_good") > 0).cast("int").alias("_good"))
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> tuple[DataFrame, dict[str, float]]:
+    """host, path, n, k, hn, hk (labelled and good documents of each path and host), and the global rate and strengths."""
+    keyed = docs.select(F.col("doc_id").alias("_id"), named(host).alias("host"), named(path).alias("path")).distinct()
+    paths = keyed.join(truth(labels), "_id", "left").groupBy("host", "path").agg(F.count("_good").alias("n"), F.coalesce(F.sum("_good"), F.lit(0)).alias("k"))
+    paths = materialize(docs.sparkSession, paths, "site-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
     total = hosts.agg(F.sum("hn"), F.sum("hk")).first()
     rate = (total[1] + 1) / (total[0] + 2) if total[0] else 0.5
-    hosts = hosts.withColumn("center", F.lit(rate))
-    a = strength(hosts, "hn", "hk", "center")
-    hosts = hosts.select("host", ((F.col("hk") + a * F.lit(rate)) / (F.col("hn") + a)).alias("host_rate"))
-    paths = paths.join(hosts, "host")
-    b = strength(paths, "n", "k", "host_rate")
-    return paths.select("host", "path", "host_rate", ((F.col("k") + b * F.col("host_rate")) / (F.col("n") + b)).alias("prior")), rate
+    a = strength(hosts.withColumn("center", F.lit(rate)), "hn", "hk", "center")
+    # Both sides of later joins are tables or exchanges of their own, so that a large site is split.
+    sites = materialize(docs.sparkSession, paths.join(hosts, "host"), "sites")
+    b = strength(sites.withColumn("center", (F.col("hk") + a * F.lit(rate)) / (F.col("hn") + a)), "n", "k", "center")
+    return sites, {"rate": rate, "host": a, "path": b}
+
+
+def shrunk(fit: dict[str, float], n: Column, k: Column, hn: Column, hk: Column) -> Column:
+    """The path's rate of good documents, shrunk toward its host's, which is shrunk toward the global one."""
+    center = (hk + fit["host"] * fit["rate"]) / (hn + fit["host"])
+    return (k + fit["path"] * center) / (n + fit["path"])
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
@@ -89,9 +106,9 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit(docs, labels)
-    sites, rate = posteriors(docs, labels, host, path)
+    sites, sizes = posteriors(docs, labels, host, path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    one = docs.select("doc_id", docs["text"].cast("string").alias("text"), F.coalesce(host, F.lit("\0")).alias("host"), F.coalesce(path, F.lit("\0")).alias("path"))
+    one = docs.select("doc_id", docs["text"].cast("string").alias("text"), named(host).alias("host"), named(path).alias("path"))
     measured = statistics(one.select(F.struct("doc_id", "host", "path").alias("key"), "text"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +119,9 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
     told = measured.select("id", "x").mapInArrow(run, f"key {measured.schema['id'].dataType.simpleString()}, evidence double")
     told = told.select("key.doc_id", "key.host", "key.path", "evidence")
+    told = told.join(truth(labels), told["doc_id"] == F.col("_id"), "left").drop("_id")
+    own, good = F.col("_good").isNotNull().cast("int"), F.coalesce("_good", F.lit(0))
+    prior = shrunk(sizes, F.col("n") - own, F.col("k") - good, F.col("hn") - own, F.col("hk") - good)
+    scored = told.join(sites, ["host", "path"], "left").withColumn("prior", F.coalesce(prior, F.lit(sizes["rate"])))
     logit = F.col("evidence") + F.log(F.col("prior") / (1 - F.col("prior")))
-    scored = told.join(sites, ["host", "path"], "left").withColumn("prior", F.coalesce("prior", F.lit(rate)))
     return scored.select("doc_id", "evidence", "prior", (1 / (1 + F.exp(-logit))).alias("score")).withColumn("kept", F.col("score") >= KEEP_FROM)
