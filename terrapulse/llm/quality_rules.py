@@ -2,7 +2,8 @@
 
 The forest is grown on the rule statistics of labelled good rows that pass the bounds (a bounded, hash-ordered sample) and its threshold is
 set on labelled rows; documents with short average path lengths are anomalous and are not kept. Null texts count as
-empty: no words, so base_failed. Repeated rows are judged one by one. Without labelled rows of both kinds, no document is called anomalous.
+empty: no words, so base_failed. Repeated rows are judged one by one. Without labelled rows of both kinds, no document is called anomalous. Labels only choose
+the good rows and the threshold; bad rows don't shape the trees. An empty table gives an empty result. Whole texts are read, in linear time.
 """
 
 from __future__ import annotations
@@ -99,10 +100,10 @@ class Forest:
 
 
 def grow(good: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int = TREES, psi: int = LEAF_SAMPLE, seed: int = SEED) -> Forest:
-    """Random splits of the box of all labelled rows over samples of good ones.
+    """Random splits of the box of the good rows over samples of them.
 
-    Cuts are drawn from a node's part of the box, not from the range of its rows, so that statistics which are constant among good rows
-    still cut off what strays from them; a part without rows ends at once.
+    Cuts are drawn from a node's part of the box, not from the range of its rows, so that empty parts of the box are cut off early and what falls there has
+    a short path; a part without rows ends at once.
     """
     rng = np.random.default_rng(seed)
     psi = min(psi, len(good))
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Forest | Non
     x, good = np.stack(rows["x"].to_numpy()), rows["_label"].to_numpy() > 0
     if not good.any() or good.all():
         return None
-    forest = grow(x[good], (x.min(0), x.max(0)))
+    forest = grow(x[good], (x[good].min(0), x[good].max(0)))
     forest.threshold = calibrate(forest.score(x), good)
     return forest
 
