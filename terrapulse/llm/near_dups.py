@@ -6,14 +6,17 @@ of weights, whose points carry a position in the block and a register, so that a
 register keeps its least point; two signatures agree in a register with the probability of their weighted Jaccard similarity.
 Generation stops once a process is past every register of its text.
 
-Exact copies are put together first by digest. Texts that share a band are compared with the band's first text, its leader. Where
+Exact copies are put together first by digest, with sums made before the shuffle, and only one of them goes on. Texts that share a band are compared with the band's first text, its leader. Where
 the texts of a leader then still lie in several classes, those of different classes meet by a prefix filter over their differences from
 the leader: two texts of the least similarity differ in so few elements that they share most of what sets them apart from it, so
 each meets only texts that share one of the rarest such elements. No link between texts that share a leader is lost, and
-a large group of copies costs a comparison a text and band. Similarities are computed exactly. Classes are the connected components.
+a large group of copies costs a comparison a text and band. Similarities are computed exactly, on whole texts. Classes are the connected components.
+Tables that a large group is joined with are written first, so that each such join stands between two exchanges and its large groups are split.
 
 Null texts count as empty; empty texts, and texts of white space only where equal, are exact copies of each other and have no near copies. Rows with a
-null doc_id belong to no class (null class_id, kept). Repeated rows of a doc_id share its class and appear once.
+null doc_id belong to no class (null class_id, kept). Repeated rows (doc_id and text) appear once. A doc_id that stands on several texts has a row for each, and
+these needn't share a class: one of them goes by the doc_id, and the others by a number from 2 ** 62 on, which class_id gives only where no text of the class goes by a
+doc_id. A text of any length is a row of its own slice; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 8 registers: texts of similarity 0.8 share a band with probability 0.997, of 0.5 with 0.12.
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -118,20 +121,19 @@ def bands(registers: np.ndarray) -> np.ndarray:
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """id, n (shingles), keys (the bands) for each row of (id, text) with a word."""
+    """key, digest, keys (the bands; none without a word) for each row of (key, digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in slices(b["text"], SLICE):
                 part = b.slice(i, j - i)
                 row, shingle, count = shingles(part["text"])
-                n = np.bincount(row, count, part.num_rows).astype(np.int64)
-                keys = bands(signatures(row, shingle, count, part.num_rows))
-                some = np.flatnonzero(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(some) + 1) * BANDS, BANDS), pa.int32()), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(some)), pa.array(n[some]), lists], ["id", "n", "keys"])
+                some = np.bincount(row, minlength=part.num_rows) > 0
+                keys = bands(signatures(row, shingle, count, part.num_rows))[some]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(some * BANDS)]), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part["key"], part["digest"], lists], ["key", "digest", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, keys array<bigint>")
+    return docs.mapInArrow(run, "key long, digest binary, keys array<bigint>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -169,8 +171,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each pair of a leader a and a text b: n and m (shingles of b and a), and the elements that only one of them has.
+def differences(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``placed`` (a leader a, a text b, inside, label) with n and m (shingles of b and a), and the elements that only b (fresh) or only a (lost) has.
 
     An element is a shingle with its place among equal shingles, so that sets of elements stand for multisets of shingles.
     """
@@ -182,6 +184,9 @@ def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return splitmix(np.repeat(shingle, count) + place.astype(np.uint64) * np.uint64(_BASE))
 
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slices(batch["text_b"], SLICE):
@@ -190,46 +195,64 @@ def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
                 group = np.cumsum(np.append(False, ids[1:] != ids[:-1]))
                 a, b = [elements(x) for x in bags(part["text_a"].take(pa.array(firsts)))], [elements(x) for x in bags(part["text_b"])]
-                apart = [np.setxor1d(a[g], y).view(np.int64) for g, y in zip(group, b)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, apart)]), pa.int32()), pa.array(np.concatenate(apart)))
-                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array([len(y) for y in b], pa.int64()), pa.array([len(a[g]) for g in group], pa.int64()), lists], ["a", "b", "n", "m", "elements"])
+                fresh, lost = lists([np.setdiff1d(y, a[g], True) for g, y in zip(group, b)]), lists([np.setdiff1d(a[g], y, True) for g, y in zip(group, b)])
+                sizes = [pa.array([len(y) for y in b], pa.int64()), pa.array([len(a[g]) for g in group], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"], part["inside"], part["label"], *sizes, fresh, lost], ["a", "b", "inside", "label", "n", "m", "fresh", "lost"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n long, m long, elements array<bigint>")
+    both = placed.join(right, "b").join(left, "a").select("a", "b", "inside", "label", "text_a", "text_b")
+    return both.mapInArrow(run, "a long, b long, inside boolean, label long, n long, m long, fresh array<bigint>, lost array<bigint>")
 
 
 def across(star: DataFrame, texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Pairs a < b of texts that share a leader, lie in different classes and may reach ``least``: none that does is left out.
 
     Texts of n and n' elements reach ``least`` if at most delta = (n + n') (1 - least) / (1 + least) elements are in one of them only. With d and d' elements
-    that are in the text or its leader only, they share at least (d + d' - delta) / 2 of those. In any common order, here from the rarest on, one
-    of these is then among the first (d - d' + delta) / 2 + 1 of the one text and the first (d' - d + delta) / 2 + 1 of the other. One text of such a pair isn't linked
-    to the leader, as both would be of its class otherwise; so d' > (n' + m) (1 - least) / (1 + least) there, which bounds the first number from above.
+    that are in the text or its leader only, they share at least (d + d' - delta) / 2 of those. In any common order one
+    of these is then among the first (d - d' + delta) / 2 + 1 of the one text and the first (d' - d + delta) / 2 + 1 of the other. One text of such a pair isn't of the
+    leader's class (inside), so it isn't linked to it and d' > (n' + m) (1 - least) / (1 + least) there, which bounds the first number from above.
+
+    The order of a leader's elements is: those that it lacks, from the rarest on, then those that it has, from the rarest on. What only one text has
+    takes a place, but nothing meets there, so such elements are only counted.
     """
     spark, rate = star.sparkSession, (1 - least) / (1 + least)
     of = labels.select(F.col("id").alias("b"), F.col("label"))
-    placed = star.join(of, "b", "left").select("a", "b", (F.col("similarity") >= least).alias("linked"), F.coalesce("label", "b").alias("label"))
+    placed = star.join(of, "b", "left").select("a", "b", F.coalesce("label", "b").alias("label"))
     heads = labels.select(F.col("id").alias("a"), F.col("label").alias("head"))
     sides = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(heads, "a", "left")
-    mixed = sides.where("low <> high or low <> coalesce(head, a)").select("a")
-    placed = materialize(spark, placed.join(mixed, "a", "left_semi"), "mixed-groups")
-    apart = materialize(spark, differences(placed.select("a", "b"), texts), "differences")
-    rows = apart.select("a", "b", F.explode("elements").alias("e"))
-    counts = rows.groupBy("a", "e").agg(F.count("*").alias("times"))
-    # An element of one text alone takes a place in that text's order, but nothing meets there.
-    ranked = rows.join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("order"))
-    ranked = ranked.join(apart.select("a", "b", "n", "m"), ["a", "b"]).join(placed, ["a", "b"]).withColumn("d", F.size("order"))
-    near = F.floor((F.col("d") + (F.col("n") - F.col("m")) * rate) / 2 + 1e-6) + 1
+    mixed = materialize(spark, sides.withColumn("head", F.coalesce("head", "a")).where("low <> high or low <> head").select("a", "head"), "mixed-leaders")
+    inside = placed.join(mixed, "a").select("a", "b", (F.col("label") == F.col("head")).alias("inside"), "label")
+    apart = materialize(spark, differences(inside, texts), "differences")
+    d, new = F.size("fresh") + F.size("lost"), F.size("fresh")
+    near = F.floor((d + (F.col("n") - F.col("m")) * rate) / 2 + 1e-6) + 1
     far = F.floor(F.col("n") * (1 + 1 / least) * rate + 1e-6) + 1
-    kept = ranked.select("a", "b", "n", "d", "linked", "label", near.alias("near"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.when(F.col("linked"), F.least(near, far)).otherwise(far)).cast("int"))).alias("place", "x"))
-    kept = materialize(spark, kept.where("x.times > 1").select("a", "b", "n", "d", "linked", "label", "near", "place", F.col("x.e").alias("e")), "rare-differences")
-    left = kept.where("not linked").select("a", "e", *(F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "label", "near", "place")))
-    right = kept.where("place < near").select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "label", "linked", "place")))
+    upto = F.greatest(F.lit(0), F.when(F.col("inside"), F.least(near, far)).otherwise(far)).cast("int")
+    sized = apart.withColumns({"d": d, "near": near, "upto": upto, "new": new})
+    of = ("a", "b", "n", "d", "inside", "label", "near", "upto", "new")
+    rows = sized.select(*of, F.explode("fresh").alias("e"))
+    shared = materialize(spark, rows.groupBy("a", "e").agg(F.count("*").alias("times")).where("times > 1"), "shared-differences")
+    ranked = rows.join(shared, ["a", "e"]).groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("order"))
+    alone = F.col("new") - F.size("order")
+    heads = ranked.select(*of, alone.alias("at"), F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("upto") - alone))["e"].alias("own"))
+    beyond = sized.select(*of, "lost").where("upto > new")
+    # A leader has no more such elements than shingles.
+    common = beyond.select("a", F.explode("lost").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
+    common = materialize(spark, common.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("all")), "lost-differences")
+    tails = beyond.join(common, "a").select(*of, F.col("new").alias("at"), F.slice(F.array_intersect(F.col("all.e"), "lost"), F.lit(1), F.col("upto") - F.col("new")).alias("own"))
+    # Written before they are spread out: a task of the joins holds as many texts as a leader has, those that read them equally many bytes.
+    first = materialize(spark, heads.union(tails), "first-differences")
+    kept = first.select(*of, "at", F.posexplode("own").alias("pos", "e")).withColumn("place", F.col("pos") + F.col("at")).drop("pos", "at")
+    kept = materialize(spark, kept, "rare-differences")
+    left = kept.where("not inside").select("a", "e", *(F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "label", "near", "place")))
+    right = kept.where("place < near").select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "n", "d", "label", "inside", "place")))
     delta = (F.col("x_n") + F.col("y_n")) * rate + 1e-6
     sizes = F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n")
     places = (2 * F.col("x_place") <= F.col("x_d") - F.col("y_d") + delta) & (2 * F.col("y_place") <= F.col("y_d") - F.col("x_d") + delta)
-    once = F.col("y_linked") | (F.col("x_b") < F.col("y_b")) & (F.col("x_place") < F.col("x_near"))
+    once = F.col("y_inside") | (F.col("x_b") < F.col("y_b")) & (F.col("x_place") < F.col("x_near"))
     met = left.join(right, ["a", "e"]).where((F.col("x_label") != F.col("y_label")) & sizes & places & once)
-    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+    met = materialize(spark, met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct(), "cross-pairs")
+    for used in (mixed, apart, shared, common, first, kept):
+        discard(spark, used)
+    return met
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -252,43 +275,82 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, doc_id, digest, text of the rows with a doc_id; a key belongs to one text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
+    rows = rows.withColumns({"digest": F.unhex(F.md5("text")), "hash": F.xxhash64("text")})
+    several = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("hash").alias("_own"), F.max("hash").alias("_last")).where("_own <> _last").drop("_last")
+    several = materialize(docs.sparkSession, several, "ids-of-several-texts")
+    other = F.xxhash64("doc_id", "hash").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    key = F.when(F.col("_own").isNull() | (F.col("_own") == F.col("hash")), F.col("doc_id")).otherwise(other)
+    return rows.join(several, rows["doc_id"] == several["_id"], "left").select(key.alias("key"), "doc_id", "digest", "text")
+
+
 def link(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_id (least doc_id of the exact copies), class_id, kept: one row per doc_id.
+    """doc_id, text_id (key of the first of the exact copies), class_id, kept, digest: one row per doc_id and text.
 
     ``docs`` has doc_id (integer) and text; other columns are ignored.
     """
     spark = docs.sparkSession
-    one = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("id is not null")
-    digests = one.select("id", F.md5("text").alias("digest"))
-    copies = digests.groupBy("digest").agg(F.min("id").alias("text_id"))
-    members = digests.join(copies, "digest").groupBy("id").agg(F.min("text_id").alias("text_id"))
-    members = materialize(spark, members, "copies")
-    firsts = members.where("id = text_id").select("id")
-    signed = band_keys(one).join(firsts, "id").dropDuplicates(["id"])
-    banded = materialize(spark, signed.select("id", F.explode("keys").alias("band")), "bands")
+    rows = keyed(docs)
+    signed = band_keys(rows.select("key", "digest", "text"))
+    # Copies have equal bands, so that any of them will do; each task hands on one row a text.
+    texts = materialize(spark, signed.groupBy("digest").agg(F.min("key").alias("text_id"), F.count("*").alias("times"), F.first("keys").alias("keys")), "texts")
+    banded = texts.select(F.col("text_id").alias("id"), F.explode("keys").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("band", "leader")
+    leaders = materialize(spark, leaders, "leaders")
     pairs = materialize(spark, banded.join(leaders, "band").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    discard(spark, banded)
+    discard(spark, leaders)
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # The same plan at every size: a side that grows with the corpus isn't left to be broadcast where it happens to be small.
-    texts = materialize(spark, one.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-    star = materialize(spark, verified(pairs, texts, 0.0), "star-links")
-    links = star.where(F.col("similarity") >= least).select("a", "b")
-    labels = components(links)
-    found = materialize(spark, verified(across(star, texts, labels, least), texts, least).select("a", "b"), "cross-links")
-    if found.limit(1).count():
-        labels = components(links.union(found))
-    out = members.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left")
-    out = out.select(F.col("id").alias("doc_id"), "text_id", F.coalesce("label", "text_id").alias("class_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
-    nulls = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    bodies = rows.select(F.col("key").alias("id"), "text")
+    bodies = materialize(spark, bodies.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+    star = materialize(spark, verified(pairs, bodies, 0.0), "star-links")
+    discard(spark, pairs)
+    labels = components(star.where(F.col("similarity") >= least).select("a", "b"))
+    found = materialize(spark, verified(across(star, bodies, labels, least), bodies, least).select("a", "b"), "cross-links")
+    labels = merged(labels, found)
+    discard(spark, star)
+    discard(spark, bodies)
+    classes = texts.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").where("times > 1 or label is not null")
+    classes = materialize(spark, classes.select(F.col("digest").alias("_digest"), "text_id", F.coalesce("label", "text_id").alias("class_id")), "classes")
+    discard(spark, texts)
+    members = rows.groupBy("key", "doc_id", "digest").count()
+    out = members.join(classes, members["digest"] == classes["_digest"], "left")
+    out = out.select("doc_id", F.coalesce("text_id", "key").alias("text_id"), F.coalesce("class_id", "key").alias("class_id"), (F.col("key") == F.coalesce("class_id", "key")).alias("kept"), "digest")
+    none = F.lit(None).cast("long")
+    nulls = docs.where("doc_id is null").select(none.alias("doc_id"), none.alias("text_id"), none.alias("class_id"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("digest"))
     return out.union(nulls)
 
 
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after further links (a, b), by the components of the graph whose nodes are the classes."""
+    spark = labels.sparkSession
+    if not found.limit(1).count():
+        return labels
+    ends = [labels.select(F.col("id").alias(end), F.col("label").alias(f"label_{end}")) for end in "ab"]
+    between = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    above = components(between.where("a <> b").distinct(), "classes-components").select(F.col("id").alias("_old"), F.col("label").alias("_new"))
+    moved = labels.join(above, labels["label"] == above["_old"], "left").select("id", F.coalesce("_new", "label").alias("label"))
+    lone = above.join(labels, above["_old"] == labels["id"], "left_anti").select(F.col("_old").alias("id"), F.col("_new").alias("label"))
+    return materialize(spark, moved.union(lone), "labels")
+
+
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` but for those whose class has a smaller doc_id, with all their columns."""
-    gone = link(docs, least).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each class, that of its first key, with all columns; rows with a null doc_id stay. Of repeated rows (doc_id and text) any one stays."""
+    spark = docs.sparkSession
+    classes = link(docs, least).where("doc_id is not null")
+    gone = classes.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest"))
+    digest = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    out = docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (digest == gone["_digest"]), "left_anti")
+    twice = docs.groupBy(docs["doc_id"].cast("long").alias("_id"), digest.alias("_digest")).count().where("count > 1 and _id is not null").select("_id", "_digest")
+    twice = materialize(spark, twice, "repeated-rows")
+    if not twice.limit(1).count():
+        return out
+    same = (out["doc_id"].cast("long") == twice["_id"]) & (digest == twice["_digest"])
+    once, more = out.join(twice, same, "left_anti"), out.join(twice, same)
+    return once.union(more.dropDuplicates(["_id", "_digest"]).drop("_id", "_digest"))
 
 
 def brute(texts: dict[int, str], least: float = SIMILARITY) -> dict[int, int]:
