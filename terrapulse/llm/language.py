@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models, one per language, kept as sorted arrays.
 
-Counts come from every training row: words of lower-cased letters, padded, cut into character 4-grams, all of which are kept.
+Counts come from every training row: words of lower-cased letters (Unicode's, so neither numerals nor superscripts), padded, cut into character 4-grams, all of which are kept.
 A 4-gram is its context of three characters, packed by 21 bits each, and its last character. Lower orders are continuation counts of the order above. A text gets the language with the lowest cross-entropy a
 character; texts whose best cross-entropy lies beyond a calibrated cut are marked as rejected. Null texts and texts
 without a letter are ``und`` with score 0 and rejected. Ties go to the first language by name. Rows without a language
-aren't trained on; without any training row every text is ``und``. Repeated rows count and are judged one by one.
+aren't trained on; without any training row every text is ``und``. Repeated rows count and are judged one by one. An empty table gives an empty result.
+Whole texts are read, in time linear in their length but for the distinct words' look-ups.
 """
 
 from __future__ import annotations
@@ -26,14 +27,24 @@ ORDER, START, STOP = 4, "\x02\x02\x02", "\x03"
 #: 4-grams that the driver fetches at once; a language that has more comes alone.
 FETCHED_GRAMS = 1 << 21
 #: Distinct words that a task holds before it turns them into n-gram counts, and bins a nat of the entropies that the rejection cut is set on.
-HELD_WORDS, BINS, MARGIN, SHARPNESS = 400_000, 1000, 0.75, 40
+HELD_WORDS, BINS, MARGIN, SHARPNESS = 100_000, 1000, 0.75, 40
 #: Bytes of text that are scored at once.
-SLICE = 4 << 20
+SLICE = 3 << 19
 BITS = np.uint64(21)
 LETTER = np.uint64((1 << 21) - 1)
 MASK = [np.uint64((1 << 21 * n) - 1) for n in range(4)]
 
 
+def words_of(text: str | None) -> Counter:
+    """The words of a text and how often each stands in it. What the pattern takes for word characters but Unicode not for letters parts words."""
+    bag = Counter(WORD.findall(text.lower())) if text else Counter()
+    for w in [w for w in bag if not w.isalpha()]:
+        n = bag.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            bag[part] += n
+    return bag
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and last characters of the 4-grams of padded words in order, and how many each word has."""
     codes = np.frombuffer("".join([f"{START}{w}{STOP}" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -163,7 +174,7 @@ class Model:
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, rejected and cross-entropy of each text."""
-        bags = [Counter(WORD.findall(t.lower())) if t else Counter() for t in texts]
+        bags = [words_of(t) for t in texts]
         if not self.languages:
             return ["und"] * len(bags), np.zeros(len(bags)), np.ones(len(bags), bool), np.zeros(len(bags))
         h, chars = self.entropies(bags)
@@ -193,11 +204,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
             bags.clear()
 
         for b in batches:
-            for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist()):
-                if text:
-                    bags.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            if sum(map(len, bags.values())) > HELD_WORDS:
-                yield from flush()
+            for i, j in slices(b["text"], SLICE):
+                part = b.slice(i, j - i)
+                for text, lang in zip(part["text"].to_pylist(), part["lang"].to_pylist()):
+                    if text:
+                        bags.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, bags.values())) > HELD_WORDS:
+                    yield from flush()
         yield from flush()
 
     return rows.mapInArrow(run, "lang string, context long, last int, n long").groupBy("lang", "context", "last").agg(F.sum("n").alias("n"))
