@@ -21,6 +21,7 @@ import base64
 import heapq
 import json
 import mmap
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,16 +32,17 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapulse.llm.common import discard, materialize, shipped, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a group, and of a word that is still folded by expressions.
-GROUP, LONG = 12 << 20, 96
+GROUP, LONG = 8 << 20, 96
 #: Bytes of the texts whose words may go into the store of words that are folded ahead, and the words of the store (about 40 bytes each).
 SAMPLE, STORE_WORDS = 96 << 20, 500_000
+PLAN_TEXT = 1 << 16
 #: A packed piece is rank << RANK | byte offset << PLACE | id; NONE is no rank, and what an empty cell of the table gives is above it.
 RANK, PLACE, NONE, GONE = 42, 18, 1 << 20, -1
 ID, LOW, EMPTY = (1 << PLACE) - 1, (1 << RANK) - 1, 1 << 60
@@ -69,18 +71,26 @@ def table(path: str) -> tuple[np.ndarray, np.ndarray, int, int]:
                 pairs.append(a << PLACE | b)
                 of.append(rank)
     pair, rank = np.array(pairs, np.int64), np.array(of, np.int64)
-    small, large = _prime(len(pair) // 2), _prime(2 * len(pair))
+    small, large = _prime(len(pair) // 2), _prime(len(pair) * 21 // 20)
     while len(np.unique(pair % small * large + pair % large)) < len(pair):
         large = _prime(large + 1)
     bucket, home = pair % small, pair % large
     order = np.argsort(bucket, kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(pair) else []
-    cells, moves = np.full(large, EMPTY, np.int64), np.zeros(small, np.int64)
+    cells, moves, free = np.full(large, EMPTY, np.int64), np.zeros(small, np.int64), None
     for g in sorted(groups, key=lambda g: -len(g)):
         move = 0
-        while True:
+        if len(g) == 1:  # those come last and take the cells that are left
+            if free is None:
+                free = np.flatnonzero(cells == EMPTY).tolist()
+            at = bisect_left(free, int(home[g[0]]))
+            if at == len(free):
+                free.append(len(cells))
+                cells = np.append(cells, EMPTY)
+            move = free.pop(at) - int(home[g[0]])
+        while len(g) > 1:
             if move + home[g].max() >= len(cells):
-                cells = np.concatenate([cells, np.full(1024, EMPTY, np.int64)])
+                cells = np.concatenate([cells, np.full(64, EMPTY, np.int64)])
             if (cells[home[g] + move] == EMPTY).all():
                 break
             move += 1
@@ -131,6 +141,14 @@ def literal(values: np.ndarray) -> Column:
     return F.from_json(F.lit(json.dumps(values.tolist(), separators=(",", ":"))), "array<bigint>")
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Have Spark keep the beginning of plans' texts only: with the literals in full, each is megabytes that the driver holds for every query."""
+    key = "spark.sql.maxPlanStringLength"
+    now = spark.conf.get(key).lower().rstrip("b")  # with a larger unit it is above the bound
+    if not now.isdigit() or int(now) > PLAN_TEXT:
+        spark.conf.set(key, str(PLAN_TEXT))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is worked out once."""
     return F.transform(F.array(value), body)[0]
@@ -223,7 +241,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, path: str, store: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, special, find = ranks(path), exceptions(path), regex.compile(pattern).findall
-        known = mapped(store) if store else Store(Store.build([], np.zeros(1, np.int64), np.zeros(0, np.int32)))
+        known = mapped(store) if store else Store(bytes(24))
 
         def own(word: str) -> list[int] | None:
             data = word.encode("utf-8", "surrogatepass")
@@ -250,10 +268,17 @@ def groups(docs: DataFrame, id_col: str, text_col: str, path: str, store: str |
     return one.mapInArrow(run, f"ids array<{kind}>, codes array<binary>, words array<array<bigint>>, given binary, sizes binary")
 
 
-def folded(rows: DataFrame, path: str) -> DataFrame:
-    """``groups`` with the ids of each word in place of its bytes."""
-    moves, cells, small, large = table(path)
-    known = F.struct(literal(moves).alias("moves"), literal(cells).alias("cells"))
+def rank_map(path: str) -> Column:
+    """The literal of ``table``."""
+    moves, cells, _, _ = table(path)
+    return F.struct(literal(moves).alias("moves"), literal(cells).alias("cells"))
+
+
+def folded(rows: DataFrame, path: str, known: Column | None = None) -> DataFrame:
+    """``groups`` with the ids of each word in place of its bytes; ``known`` is the rank map where it has been made before."""
+    short_plans(rows.sparkSession)
+    _, _, small, large = table(path)
+    known = rank_map(path) if known is None else known
     words = let(known, lambda k: F.transform("words", lambda w: fold_word(w, k["moves"], k["cells"], small, large)))
     return rows.withColumn("words", words)
 
@@ -273,8 +298,7 @@ class Store:
         return np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64).reshape(-1, 2)
 
     @staticmethod
-    def build(words: list[str], ends: np.ndarray, ids: np.ndarray) -> bytes:
-        hashes = Store.hashes(words)
+    def build(hashes: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
         _, first = np.unique(hashes[:, 0], return_index=True)
         starts, sizes = ends[:-1][first], np.diff(ends)[first]
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -297,7 +321,7 @@ def mapped(name: str) -> Store:
         return Store(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-def frequent(docs: DataFrame, text_col: str, path: str) -> str:
+def frequent(docs: DataFrame, text_col: str, path: str, known: Column | None = None) -> str:
     """The name of a store of words that stand several times in a sample of bounded bytes, folded: this spares folding them in each group again, and changes no result."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -321,8 +345,9 @@ def frequent(docs: DataFrame, text_col: str, path: str) -> str:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b["word"]
-            rows = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in (own, packed_bytes([w.encode() for w in own.to_pylist()], path))]
-            yield pa.RecordBatch.from_arrays(rows, ["word", "words"])
+            own = own.to_pylist()
+            rows = [pa.array([Store.hashes(own).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), packed_bytes([w.encode() for w in own], path))]
+            yield pa.RecordBatch.from_arrays(rows, ["hashes", "words"])
 
     counts = texts.mapInArrow(count, "word string, n long").where(F.octet_length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(spark, counts, "bpe-words")
@@ -330,17 +355,19 @@ def frequent(docs: DataFrame, text_col: str, path: str) -> str:
     while sum(n for level, n in kept.items() if 2 ** (level + 1) > least) > STORE_WORDS:
         least *= 2
     chosen = counts.where(F.col("n") >= least).select("word").repartition(32)
-    got = folded(chosen.mapInArrow(lists, "word array<string>, words array<array<bigint>>"), path).toArrow()
+    got = folded(chosen.mapInArrow(lists, "hashes binary, words array<array<bigint>>"), path, known).toArrow()
     discard(spark, counts)
-    words, ids = (got[c].combine_chunks().flatten() for c in ("word", "words"))
+    hashes = np.frombuffer(b"".join(x.as_buffer() for x in got["hashes"]), np.uint64).reshape(-1, 2)
+    ids = got["words"].combine_chunks().flatten()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]) if len(ids) else np.zeros(1, np.int64)
-    return shipped(spark, "bpe-store", Store.build(words.to_pylist(), ends, ids.flatten().to_numpy()))
+    return shipped(spark, "bpe-store", Store.build(hashes, ends, ids.flatten().to_numpy()))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ids array<int> for every row of ``docs``."""
     path = path or public_tokenizers.path(VOCABULARY)
-    rows = folded(groups(docs, id_col, text_col, path, frequent(docs, text_col, path)), path)
+    known = rank_map(path)
+    rows = folded(groups(docs, id_col, text_col, path, frequent(docs, text_col, path, known)), path, known)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
