@@ -5,14 +5,18 @@ import gzip
 import hashlib
 import os
 import random
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -52,12 +56,15 @@ def tokenizer():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("most", [bpe.DICTIONARY, 20])
-def test_bpe_is_the_tokenizer(spark, docs, odd, most):
-    """With all words folded ahead, and with nearly all folded in their rows."""
-    own = docs.where("length(text) < 1500").select("doc_id", "text").limit(40).union(odd.where("doc_id is not null").select(F.col("doc_id") + 10**6, "text"))
+LONG_WORDS = ["ab" * 10_000, base64.b64encode(bytes(random.Random(1).randrange(256) for _ in range(300_000))).decode(), "é" * 5000, " " * 999 + "x", "=" * 4001, "a" * 96, "a" * 97]
+
+
+def test_bpe_is_the_tokenizer(spark, docs, odd):
+    """Whole texts, odd ones and words of any length."""
+    more = spark.createDataFrame([(2 * 10**6 + i, t) for i, t in enumerate(LONG_WORDS)] + [(3 * 10**6, "twice"), (3 * 10**6, "twice")], "doc_id BIGINT, text STRING")
+    own = docs.select("doc_id", "text").union(odd.where("doc_id is not null").select(F.col("doc_id") + 10**6, "text")).union(more)
     texts = {r[0]: r[1] or "" for r in own.collect()}
-    got = bpe.encode(own, most=most).withColumn("back", bpe.decode(F.col("ids"))).collect()
+    got = bpe.encode(own).withColumn("back", bpe.decode(F.col("ids"))).collect()
     enc = tokenizer()
     assert len(got) == own.count()
     for r in got:
@@ -65,6 +72,18 @@ def test_bpe_is_the_tokenizer(spark, docs, odd, most):
         assert bytes(r["back"]) == texts[r["doc_id"]].encode()
 
 
+def test_bpe_folds_what_the_store_lacks(spark, docs):
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    own = docs.select("doc_id", "text").limit(50)
+    row = bpe.folded(bpe.groups(own.coalesce(1), "doc_id", "text", path), path).first()
+    assert not row["given"] and len(row["words"]) > 1000
+    words = bpe.cut([r["text"] for r in own.coalesce(1).collect()], regex.compile(public_tokenizers.PATTERN).findall)[0]
+    enc = tokenizer()
+    assert row["words"] == [enc.encode_ordinary(w) for w in words]
+    known = bpe.ranks(path)
+    assert [bpe.merged(w.encode(), known) for w in words] == row["words"]
+
+
 def test_bpe_digests_and_empty(spark, empty):
     one = spark.createDataFrame([(1, "hello"), (2, None)], "doc_id BIGINT, text STRING")
     got = {r["doc_id"]: r for r in bpe.round_trip(one).collect()}
@@ -85,7 +104,45 @@ def test_toxicity_grammar():
     assert on("not an idiot") == {slot[toxicity.INSULT, "negated"]}
     assert on("she said idiot") == {slot[toxicity.INSULT, "reported"]}
     assert on("you. idiot") == {slot[toxicity.INSULT, "plain"]}
-    assert on("i will hurt you") == {slot[toxicity.THREAT, "plain"]}
+    assert on("i will hurt you") == {slot[toxicity.THREAT, "targeted"]}
+    assert on("i will hurt") == {slot[toxicity.THREAT, "plain"]}
+    assert on("idiot, that is what you are") == on("you idiot")
+    assert on("we don’t say idiot") == on("we don't say idiot") == {slot[toxicity.INSULT, "negated"]}
+    assert on("not only stupid") == {slot[toxicity.INSULT, "plain"]}
+
+
+def brute_slots(text, arcs):
+    """The rules clause by clause, without a table of states."""
+    total, most = dict.fromkeys(toxicity.SLOTS, 0.0), 0.0
+    for clause in toxicity.re.split(r"[.!?;:\n]", (text or "").lower().replace("’", "'")):
+        tokens = toxicity.re.findall(r"[^\W_]+(?:'[^\W\d_]+)?", clause)
+        kinds, sums = [], 0.0
+        for t in tokens:
+            seed = [k for k, w in toxicity.SEEDS.items() if t in w]
+            kind, weight = (seed[0], 1.0) if seed else (toxicity.OTHER, 0.0)
+            learned = max([arcs.get(t, 0.0)] + [arcs.get("^" + t[:n], 0.0) for n in range(4, 9) if len(t) >= n])
+            kinds.append((toxicity.INSULT, learned) if learned > weight or not seed and learned > 0 else (kind, weight))
+        for i, (kind, weight) in enumerate(kinds):
+            if kind in (toxicity.INSULT, toxicity.THREAT):
+                before = [k for k, _ in kinds[:i]]
+                near = before[-toxicity.NEGATION_SCOPE :][::-1]
+                cut = next((n for n, k in enumerate(near) if k in (toxicity.NEGATION, toxicity.ONLY)), None)
+                negated = cut is not None and near[cut] == toxicity.NEGATION
+                told, aimed = toxicity.REPORT in before, toxicity.TARGET in [k for k, _ in kinds]
+                total[kind, "negated" if negated else "reported" if told else "targeted" if aimed else "plain"] += weight
+                sums += weight
+        most = max(most, sums)
+    return np.concatenate([[1], np.log1p(list(total.values())), [np.log1p(most)]])
+
+
+def test_toxicity_slots_are_brute_force(docs):
+    rng = random.Random(8)
+    vocabulary = [w for ws in toxicity.SEEDS.values() for w in ws] + ["the", "weather", "idiotic", "zxy", "don’t", ".", ";", "\n"]
+    arcs = {"zxy": 0.7, "^idio": 1.4, "weather": 0.2, "hurt": 1.2}
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(40))) for _ in range(400)] + [r[0] for r in docs.select("text").limit(80).collect()] + ODD
+    g = toxicity.Grammar(arcs)
+    for t in texts:
+        assert g.slots(t) == pytest.approx(brute_slots(t, arcs)), t
 
 
 def test_toxicity_held_out(spark):
@@ -174,6 +231,23 @@ def test_near_dups_odd(spark, odd, empty):
     assert near_dups.deduplicated(odd).columns == odd.columns
 
 
+def test_near_dups_of_an_id_on_unlike_texts(spark):
+    """A doc_id on two texts doesn't bring their copies together, and repeated rows are one."""
+    rng = random.Random(9)
+    one, two = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(80)) for c in "ab")
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, "alone"), (4, "alone"), (None, "alone"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = near_dups.link(df).where("doc_id is not null").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 2, 3, 4, 5, 6]
+    by = {(r["doc_id"], bytes(r["digest"])): r["class_id"] for r in got}
+    md5 = lambda t: hashlib.md5(t.encode()).digest()
+    assert by[1, md5(one)] == by[2, md5(one + " end")] != by[3, md5(two + " end")] == by[1, md5(two)]
+    assert by[5, md5("")] == by[6, md5("")] == 5
+    kept = near_dups.deduplicated(df).collect()
+    assert len(kept) == 5 and {r["text"] for r in kept if r["doc_id"] is None} == {"alone"}
+    assert len([r for r in kept if r["text"] in (one, one + " end")]) == len([r for r in kept if r["text"] in (two, two + " end")]) == len([r for r in kept if r["doc_id"] == 4]) == 1
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     keys = np.sort(rng.integers(0, 2**63, 60).astype(np.uint64))
@@ -252,15 +326,35 @@ def test_url_split_and_rules(spark):
 
 
 def test_url_collisions_are_confirmed():
-    array = url_filter.DigestArray.build([("a", "/"), ("b", "/")], [0, 1])
-    maps = array.open()
-    maps["keys"] = np.array([maps["keys"][0]] * 2)  # both entries now have one digest
-    import xxhash
-
-    asked = [k for k in (url_filter.key("a", "/"), url_filter.key("b", "/")) if xxhash.xxh64_intdigest(k) == maps["keys"][0]]
+    array = url_filter.DigestArray(url_filter.DigestArray.build([("a", "/"), ("b", "/")], [0, 1]))
+    array.keys = np.array([array.keys[0]] * 2)  # both entries now have one digest
+    asked = [k for k in (url_filter.key("a", "/"), url_filter.key("b", "/")) if xxhash.xxh64_intdigest(k) == array.keys[0]]
     assert len(asked) == 1 and array.probe(asked)[0] >= 0
 
 
+def test_url_filter_is_brute_force(spark):
+    """Random rules and lists over few labels, so that most urls meet several of them."""
+    rng = random.Random(4)
+    name = lambda: ".".join(rng.choice(["a", "b", "example", "org", "x.y", ""]) for _ in range(rng.randrange(1, 4)))
+    path = lambda: "".join(rng.choice(["/", "/a", "b", "/c?", "#"]) for _ in range(rng.randrange(4)))
+    plain = lambda: path().replace("?", "").replace("#", "")
+    rules = [(name(), plain(), rng.choice(["allow", "block"])) for _ in range(12)]
+    listed = [(name(), plain()) for _ in range(10)]
+    urls = [f"http://{name()}{path()}" for _ in range(400)] + ["http://" + "a." * 200_000 + "org/" + "a" * 10**6, "http://" + "a" * 10**6, None, ""]
+    want = []
+    for u in urls:
+        h, p = url_filter.split(u)
+        fits = lambda host, start, h=h, p=p: h and (h == host or h.endswith("." + host)) and host and p.startswith(start)
+        best = max(((len(a) + len(b), -i) for i, (a, b, _) in enumerate(rules) if fits(a, b)), default=None)
+        want.append((rules[-best[1]][0] + rules[-best[1]][1], rules[-best[1]][2]) if best else (None, "block" if any(fits(*x) for x in listed) else "allow"))
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id BIGINT, url STRING"), rules, listed)
+    got = {r["page_id"]: r for r in got.collect()}
+    for i, (rule, verdict) in enumerate(want):
+        # Of rules that are equally long, the first listed counts, and equal ones are one rule.
+        assert (got[i]["rule"], got[i]["verdict"]) == (rule, verdict), (urls[i], rules)
+    assert sum(r is not None for r, _ in want) > 20 and sum(v == "block" for r, v in want if r is None) > 5
+
+
 def test_pii_spans():
     text = "Mail jo.b@mail.example.com or +49 (30) 123-45678, host 10.0.0.256 10.0.0.25; card 4539 1488 0343 6467, 4539 1488 0343 6468. IBAN DE89 3704 0044 0532 0130 00"
     got = {(k, text[a:b]) for k, a, b, _ in pii.spans(text)}
@@ -280,6 +374,28 @@ def test_pii_is_brute_force(docs, odd, empty):
     assert pii.redacted(odd).columns == odd.columns
 
 
+def test_pii_proposals_are_leftmost_matches():
+    """Of random texts over the characters that matter, against the patterns themselves."""
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice("aB1.25@-+ ,0_%") for _ in range(rng.randrange(60)))
+        assert list(pii.emails(text)) == [m.span() for m in pii.EMAIL.finditer(text)], text
+        assert list(pii.dotted(text)) == [m.span() for m in pii.IP.finditer(text)], text
+    assert pii.VALID["ip"]("0" * 500 + "7.1.1.1") and not pii.VALID["ip"]("0" * 500 + "300.1.1.1")
+
+
+@pytest.mark.parametrize("run", ["7", "a", "a@", "1.", "1.1.1.1.", "+1", "- 1", "@", "é", "ab12"])
+def test_pii_of_a_million_characters(run):
+    began = time.perf_counter()
+    pii.spans(run * (10**6 // len(run)))
+    assert time.perf_counter() - began < 20
+
+
+def test_pii_secrets_need_context():
+    code = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert [s[0] for s in pii.spans(f'token = "{code}"')] == ["secret"] and pii.spans(f"commit {code}") == []
+
+
 def test_language_held_out_and_odd(docs, odd, empty):
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
@@ -336,6 +452,63 @@ def test_language_beyond_the_basic_plane(spark):
     assert len(last) == lengths[0] == 4
 
 
+def test_language_letters_are_unicode_letters(docs, spark):
+    model = language.fit(docs)
+    langs, score, rejected, _ = model.judge(["½ ²", "Ⅷ ①", "١٢ 12", "a½b", "é"])
+    assert langs[:3] == ["und"] * 3 and rejected[:3].all() and not score[:3].any() and "und" not in langs[3:]
+    assert language.words_of("a½b x² ab_c ABC") == {"a": 1, "b": 1, "x": 1, "ab": 1, "c": 1, "abc": 1}
+
+
+class Smoothed:
+    """Interpolated Kneser-Ney by its definition, with dictionaries: continuation counts below the highest order, one discount an order."""
+
+    def __init__(self, words, symbols):
+        grams = Counter()
+        for w, n in words.items():
+            padded = language.START + w + language.STOP
+            for i in range(3, len(padded)):
+                grams[padded[i - 3 : i + 1]] += n
+        self.orders, self.symbols = [grams], symbols
+        for _ in range(3):
+            self.orders.append(Counter(g[1:] for g in self.orders[-1]))
+
+    def p(self, gram, order=0):
+        if order == 4:
+            return 1 / self.symbols
+        counts, lower = self.orders[order], self.p(gram[1:] if order < 3 else gram, order + 1)
+        own = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return lower
+        once, twice = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
+        d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+        return (max(own.get(gram, 0) - d, 0) + d * len(own) * lower) / sum(own.values())
+
+
+def test_language_model_is_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdé" if i % 2 else "aßvwx") for _ in range(rng.randrange(1, 7))) for _ in range(12)), "xx" if i % 2 else "yy") for i in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+    symbols = len(set("".join(t for _, t, _ in rows).replace(" ", "")) | {language.STOP}) + 1
+    assert model.symbols == symbols
+    own = {lang: Smoothed(Counter(w for _, t, x in rows if x == lang for w in t.split()), symbols) for lang in ("xx", "yy")}
+    texts = ["abc déa", "wx", "aß cz zz", "vwxaß é"]
+    langs, _, _, low = model.judge(texts)
+    for t, lang, entropy in zip(texts, langs, low):
+        grams = [p[i - 3 : i + 1] for w in t.split() for p in [language.START + w + language.STOP] for i in range(3, len(p))]
+        costs = {x: -sum(np.log(m.p(g)) for g in grams) / len(grams) for x, m in own.items()}
+        assert lang == min(costs, key=lambda x: (costs[x], x)) and entropy == pytest.approx(costs[lang], rel=1e-9)
+
+
+def test_decontamination_in_blocks(spark):
+    """Items that are spread over many blocks are all found, whatever the number of blocks is."""
+    items = [(i, f"item number {i} of the {w} list of questions") for i, w in enumerate("alpha beta gamma delta epsilon zeta eta theta".split())]
+    docs = spark.createDataFrame([(i, f"before {t} after {items[0][1]}") for i, t in items] + [(99, "nothing")], "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    assert len(decontamination.blocks(bench, 40)) > 4
+    one, many = ({r["doc_id"]: r["items"] for r in decontamination.find(docs, bench, most=m).collect()} for m in (1 << 24, 40))
+    assert one == many and all(0 in x for i, x in one.items() if i != 99) and one[99] == []
+
+
 def test_decontamination_looks_for_every_text_of_an_id(spark):
     """Items that share an id, or have none, are all searched."""
     one, two, three = ("the quick brown fox jumps over the lazy dog", "colourless green ideas sleep furiously tonight", "a stitch in time saves nine of ten tailors")
@@ -448,12 +621,54 @@ def test_quality_sites(spark, odd, empty, labels):
     assert quality_sites.judge(empty, labels).count() == 0
 
 
+def test_isolation_forest_is_brute_force(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality_rules.fit(d, lab)
+
+    def length(tree, x):
+        node = 0
+        while forest.feature[tree][node] >= 0:
+            node = (forest.left if x[forest.feature[tree][node]] < forest.cut[tree][node] else forest.right)[tree][node]
+        return forest.length[tree][node]
+
+    got = {r["doc_id"]: r for r in quality_rules.judge(d, forest).collect()}
+    for r in d.select("doc_id", "text").limit(60).collect():
+        counts, x = quality_rules.measure(r["text"])
+        anomaly = 2 ** (-np.mean([length(t, x) for t in range(len(forest.feature))]) / forest.norm)
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        own = got[r["doc_id"]]
+        assert own["anomaly"] == pytest.approx(anomaly) and own["base_failed"] == failed and own["kept"] == (not failed and anomaly <= forest.threshold)
+
+
+def test_sites_are_brute_force(spark, docs, labels):
+    """Priors by plain counting, each document's own label left out."""
+    rows = [r for r in docs.select("doc_id", "source", "lang").collect()]
+    good = {r["doc_id"]: int(r["quality"] > 0) for r in labels.collect() if r["quality"] is not None}
+    sites, fit = quality_sites.posteriors(docs, labels, F.col("source"), F.col("lang"))
+    got = {r["doc_id"]: r["prior"] for r in quality_sites.judge(docs, labels).collect()}
+    for r in rows[:150]:
+        other = [x for x in rows if x["doc_id"] != r["doc_id"] and x["doc_id"] in good]
+        host = [good[x["doc_id"]] for x in other if x["source"] == r["source"]]
+        path = [good[x["doc_id"]] for x in other if (x["source"], x["lang"]) == (r["source"], r["lang"])]
+        center = (sum(host) + fit["host"] * fit["rate"]) / (len(host) + fit["host"])
+        assert got[r["doc_id"]] == pytest.approx((sum(path) + fit["path"] * center) / (len(path) + fit["path"]))
+
+
+def test_sites_held_out(spark):
+    """Judged with two thirds of the labels, against the rest."""
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = quality_sites.judge(d, lab.where(~held)).join(lab.where(held), "doc_id").collect()
+    assert len(got) > 50 and sum(r["kept"] == (r["quality"] == 1) for r in got) >= 0.9 * len(got)
+
+
 def test_sparse_sites_shrink_to_the_global_rate(spark):
-    docs = spark.createDataFrame([(i, "t", "en", "big" if i < 200 else "small", 1) for i in range(201)], DOCS)
-    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(201)], "doc_id BIGINT, quality INT, toxic INT")
-    sites, rate = quality_sites.posteriors(docs, labels, F.col("source"), F.col("lang"))
-    prior = {r["host"]: r["prior"] for r in sites.collect()}
-    assert abs(prior["big"] - 0.75) < 0.02 and 0.3 < prior["small"] < rate
+    docs = spark.createDataFrame([(i, "t", "en", "big" if i < 200 else None if i < 201 else "", 1) for i in range(202)], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(202)], "doc_id BIGINT, quality INT, toxic INT")
+    sites, fit = quality_sites.posteriors(docs, labels, F.col("source"), F.col("lang"))
+    prior = {r["host"]: r["prior"] for r in sites.withColumn("prior", quality_sites.shrunk(fit, *map(F.col, ("n", "k", "hn", "hk")))).collect()}
+    assert set(prior) == {"=big", "=", ""}  # null is no string
+    assert abs(prior["=big"] - 0.75) < 0.02 and 0.3 < prior[""] < fit["rate"]
 
 
 def test_pipeline(spark, docs, odd):
@@ -476,6 +691,28 @@ def test_pipeline(spark, docs, odd):
         assert stage(spark, odd, DATA).columns == odd.columns
 
 
+def test_pipeline_is_brute_force(spark, docs, tmp_path):
+    """All stages together, against their plain counterparts one after another."""
+    own = [tuple(r) for r in docs.where("length(text) between 200 and 1500").orderBy("doc_id").limit(50).collect()]
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(5).collect()]
+    more = [(10**6, own[0][1] + " more", "en", "s", 1), (10**6 + 1, own[1][1], "en", "s", 1), (10**6 + 2, own[2][1][:150] + " " + items[0][1] + " so", "en", "s", 1)]
+    more += [(10**6 + 3, "qxzj vvkq zzxw " * 20, None, "s", 1), (10**6 + 4, own[3][1][:180] + " mail jo@mail.example.com", "en", "s", 1), (10**6 + 5, None, None, None, None)]
+    rows = own + more
+    df = spark.createDataFrame(rows, docs.schema)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id BIGINT, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    _, _, rejected, _ = language.fit(df).judge([r[1] for r in rows])
+    texts = {r[0]: r[1] for r, no in zip(rows, rejected) if not no}
+    classes = near_dups.brute(texts)
+    texts = {i: t for i, t in texts.items() if classes[i] == i}
+    texts = {i: t for i, t in texts.items() if all(decontamination.brute(t, x) is None for _, x in items)}
+    texts = {i: pii.redact(t, pii.spans(t)) for i, t in texts.items()}
+    enc = tokenizer()
+    assert {i: r["ids"] for i, r in got.items()} == {i: enc.encode_ordinary(t) for i, t in texts.items()}
+    assert not {10**6, 10**6 + 1, 10**6 + 2, 10**6 + 3, 10**6 + 5} & set(got) and "[EMAIL]" in texts[10**6 + 4]
+
+
 def test_utf8_of_slices():
     a = pa.array(["x", "hello", None, "é", ""]).slice(1, 3)
     from terrapulse.llm.common import slices, utf8
