@@ -1,7 +1,7 @@
 """A corpus pipeline: language, near copies, benchmark passages, personal data, tokens.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, works on every row that its predecessor kept and, but for the last, returns the columns
-of documents. Rows with null texts have no language and go at the first stage.
+of documents. Rows with null texts have no language and go at the first stage. Of rows that repeat a doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapulse.llm import bpe, decontamination, language, near_dups, pii
-from terrapulse.llm.common import scratch, table
+from terrapulse.llm.common import remove, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 
