@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import discard, materialize, shipped, slices
+from terrapulse.llm.common import discard, materialize, shipped, slices, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a group, and of a word that is still folded by expressions.
@@ -366,6 +366,7 @@ def frequent(docs: DataFrame, text_col: str, path: str, known: Column | None = N
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ids array<int> for every row of ``docs``."""
     path = path or public_tokenizers.path(VOCABULARY)
+    small_batches(docs.sparkSession)
     known = rank_map(path)
     rows = folded(groups(docs, id_col, text_col, path, frequent(docs, text_col, path, known)), path, known)
     kind = docs.schema[id_col].dataType.simpleString()

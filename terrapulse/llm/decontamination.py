@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import slices, splitmix, utf8
+from terrapulse.llm.common import slices, small_batches, splitmix, utf8
 
 Q, EDIT_RATE, MIN_CHARS, CLASS_RATIO, TABLE_BITS = 8, 0.08, 24, 1.25, 20
 #: Bytes of items that one index may hold and broadcast; more items are looked for in further blocks.
@@ -243,6 +243,7 @@ class Index:
 
 def blocks(benchmark: DataFrame, most: int = MAX_BLOCK) -> list[Broadcast]:
     """Broadcast indexes over all items, each of about ``most`` bytes at most (but for one long item)."""
+    small_batches(benchmark.sparkSession)
     one = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most) or 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import discard, fold, materialize, slices
+from terrapulse.llm.common import discard, fold, materialize, slices, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, START, STOP = 4, "\x02\x02\x02", "\x03"
@@ -260,6 +260,7 @@ def calibrate(rows: DataFrame, model: Model) -> dict[str, float]:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=None) -> Model:
     """A model from every row of ``docs`` with a language where ``train`` (a condition, all by default) holds."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs if train is None else docs.where(train)
     rows = rows.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = materialize(spark, count_grams(rows), "language-grams")
@@ -276,6 +277,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=N
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, rejected, entropy for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -292,6 +294,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

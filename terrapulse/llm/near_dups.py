@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import WHITE, discard, materialize, slices, splitmix, utf8
+from terrapulse.llm.common import WHITE, discard, materialize, slices, small_batches, splitmix, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 8 registers: texts of similarity 0.8 share a band with probability 0.997, of 0.5 with 0.12.
@@ -293,6 +293,7 @@ def link(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     ``docs`` has doc_id (integer) and text; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = keyed(docs)
     signed = band_keys(rows.select("key", "digest", "text"))
     # Copies have equal bands, so that any of them will do; each task hands on one row a text.
