@@ -234,10 +234,12 @@ def across(star: DataFrame, texts: DataFrame, labels: DataFrame, least: float) -
     alone = F.col("new") - F.size("order")
     heads = ranked.select(*of, alone.alias("at"), F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("upto") - alone))["e"].alias("own"))
     beyond = sized.select(*of, "lost").where("upto > new")
-    # A leader has no more such elements than shingles.
-    common = beyond.select("a", F.explode("lost").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
+    # A leader has no more such elements than shingles. What no text outside lacks comes before the others, as nothing meets there.
+    common = beyond.where("not inside").select("a", F.explode("lost").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
     common = materialize(spark, common.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("all")), "lost-differences")
-    tails = beyond.join(common, "a").select(*of, F.col("new").alias("at"), F.slice(F.array_intersect(F.col("all.e"), "lost"), F.lit(1), F.col("upto") - F.col("new")).alias("own"))
+    met = beyond.join(common, "a").select(*of, F.size("lost").alias("lost"), F.array_intersect(F.col("all.e"), "lost").alias("own"))
+    met = met.withColumn("at", F.col("new") + F.col("lost") - F.size("own"))
+    tails = met.select(*of, "at", F.slice("own", F.lit(1), F.greatest(F.lit(0), F.col("upto") - F.col("at"))).alias("own"))
     # Written before they are spread out: a task of the joins holds as many texts as a leader has, those that read them equally many bytes.
     first = materialize(spark, heads.union(tails), "first-differences")
     kept = first.select(*of, "at", F.posexplode("own").alias("pos", "e")).withColumn("place", F.col("pos") + F.col("at")).drop("pos", "at")
