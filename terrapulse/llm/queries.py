@@ -41,8 +41,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
