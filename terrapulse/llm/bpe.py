@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import discard, materialize, shipped, slices, small_batches
+from terrapulse.llm.common import discard, lean, materialize, shipped, slices, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a group, and of a word that is still folded by expressions.
@@ -265,7 +265,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, path: str, store: str |
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (batch["id"].slice(i, j - i), blobs, folding)]
                 yield pa.RecordBatch.from_arrays([*lists, *(pa.array([x.tobytes()], pa.binary()) for x in flat)], ["ids", "codes", "words", "given", "sizes"])
 
-    return one.mapInArrow(run, f"ids array<{kind}>, codes array<binary>, words array<array<bigint>>, given binary, sizes binary")
+    return one.mapInArrow(lean(run), f"ids array<{kind}>, codes array<binary>, words array<array<bigint>>, given binary, sizes binary")
 
 
 def rank_map(path: str) -> Column:
@@ -349,13 +349,13 @@ def frequent(docs: DataFrame, text_col: str, path: str, known: Column | None = N
             rows = [pa.array([Store.hashes(own).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), packed_bytes([w.encode() for w in own], path))]
             yield pa.RecordBatch.from_arrays(rows, ["hashes", "words"])
 
-    counts = texts.mapInArrow(count, "word string, n long").where(F.octet_length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = texts.mapInArrow(lean(count), "word string, n long").where(F.octet_length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(spark, counts, "bpe-words")
     least, kept = 2, {r["level"]: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().collect()}
     while sum(n for level, n in kept.items() if 2 ** (level + 1) > least) > STORE_WORDS:
         least *= 2
     chosen = counts.where(F.col("n") >= least).select("word").repartition(32)
-    got = folded(chosen.mapInArrow(lists, "hashes binary, words array<array<bigint>>"), path, known).toArrow()
+    got = folded(chosen.mapInArrow(lean(lists), "hashes binary, words array<array<bigint>>"), path, known).toArrow()
     discard(spark, counts)
     hashes = np.frombuffer(b"".join(x.as_buffer() for x in got["hashes"]), np.uint64).reshape(-1, 2)
     ids = got["words"].combine_chunks().flatten()
@@ -392,7 +392,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), lists], ["id", "ids"])
                     at = to
 
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import slices, small_batches, splitmix, utf8
+from terrapulse.llm.common import lean, slices, small_batches, splitmix, utf8
 
 Q, EDIT_RATE, MIN_CHARS, CLASS_RATIO, TABLE_BITS = 8, 0.08, 24, 1.25, 20
 #: Bytes of items that one index may hold and broadcast; more items are looked for in further blocks.
@@ -277,7 +277,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             sorted_items = [sorted(x.items(), key=lambda p: (p[0] is None, p[0] or 0)) for x in items]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([bool(x) for x in items]), pa.array([[k for k, _ in x] for x in sorted_items], pa.list_(pa.int64())), pa.array([[e for _, e in x] for x in sorted_items], pa.list_(pa.int64()))], ["id", "contaminated", "items", "edits"])
 
-    out = one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, contaminated boolean, items array<bigint>, edits array<bigint>")
+    out = one.mapInArrow(lean(run), f"id {one.schema['id'].dataType.simpleString()}, contaminated boolean, items array<bigint>, edits array<bigint>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -293,7 +293,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
             keep[[r for _, r, _ in searched(indexes, texts)]] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def brute(text: str | None, item: str | None) -> int | None:

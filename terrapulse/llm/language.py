@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import discard, fold, materialize, slices, small_batches
+from terrapulse.llm.common import discard, fold, lean, materialize, slices, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, START, STOP = 4, "\x02\x02\x02", "\x03"
@@ -213,7 +213,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(run, "lang string, context long, last int, n long").groupBy("lang", "context", "last").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(run), "lang string, context long, last int, n long").groupBy("lang", "context", "last").agg(F.sum("n").alias("n"))
 
 
 def fetched(counts: DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -246,7 +246,7 @@ def calibrate(rows: DataFrame, model: Model) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.int64()), pa.array(list(bins.values()), pa.int64())], ["lang", "bin", "n"])
 
     histograms: dict[str, list[tuple[int, int]]] = {}
-    for lang, at, n in rows.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n")).collect():
+    for lang, at, n in rows.mapInArrow(lean(run), "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n")).collect():
         histograms.setdefault(lang, []).append((at, n))
     shared.unpersist()
     out = {}
@@ -288,7 +288,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 langs, score, rejected, low = shared.value.judge(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(langs, pa.string()), pa.array(score), pa.array(rejected), pa.array(low)], ["id", "lang_pred", "score", "rejected", "entropy"])
 
-    out = one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean, entropy double")
+    out = one.mapInArrow(lean(run), f"id {one.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean, entropy double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -305,7 +305,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 _, _, rejected, _ = shared.value.judge(part.column(at).cast(pa.string()).to_pylist())
                 yield part.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

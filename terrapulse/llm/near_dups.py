@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import WHITE, discard, materialize, slices, small_batches, splitmix, utf8
+from terrapulse.llm.common import WHITE, discard, lean, materialize, slices, small_batches, splitmix, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 8 registers: texts of similarity 0.8 share a band with probability 0.997, of 0.5 with 0.12.
@@ -48,6 +48,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _forget() -> None:
+    """The tables go with the task: they are as long as the longest text that it met."""
+    _powers.clear()
+
+
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, shingle and count, sorted by row, of the shingle multisets of a slice."""
     data, at = utf8(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
@@ -133,7 +138,7 @@ def band_keys(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(some * BANDS)]), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part["key"], part["digest"], lists], ["key", "digest", "keys"])
 
-    return docs.mapInArrow(run, "key long, digest binary, keys array<bigint>")
+    return docs.mapInArrow(lean(run, _forget), "key long, digest binary, keys array<bigint>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -168,7 +173,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 yes = pa.array(np.flatnonzero(s >= least))
                 yield pa.RecordBatch.from_arrays([part["a"].take(yes), part["b"].take(yes), pa.array(s).take(yes)], ["a", "b", "similarity"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(run, _forget), "a long, b long, similarity double")
 
 
 def differences(placed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,7 +205,7 @@ def differences(placed: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["a"], part["b"], part["inside"], part["label"], *sizes, fresh, lost], ["a", "b", "inside", "label", "n", "m", "fresh", "lost"])
 
     both = placed.join(right, "b").join(left, "a").select("a", "b", "inside", "label", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long, inside boolean, label long, n long, m long, fresh array<bigint>, lost array<bigint>")
+    return both.mapInArrow(lean(run, _forget), "a long, b long, inside boolean, label long, n long, m long, fresh array<bigint>, lost array<bigint>")
 
 
 def across(star: DataFrame, texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:

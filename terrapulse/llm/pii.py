@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import small_batches, utf8
+from terrapulse.llm.common import lean, small_batches, utf8
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -163,7 +163,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(found, kind)], ["id", "found"])
 
     fields = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
-    out = one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, found {fields}")
+    out = one.mapInArrow(lean(run), f"id {one.schema['id'].dataType.simpleString()}, found {fields}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -191,7 +191,7 @@ def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
                 b = pa.RecordBatch.from_arrays(arrays, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
