@@ -15,6 +15,8 @@ from terrapulse.kernel import lasso, robust
 from terrapulse.options import REFLECTANCE_HIGH, SEASON_YEAR, THERMAL_HIGH, THERMAL_LOW, HarmonicOptions, LassoOptions
 
 INSUFFICIENT, SNOW, START, END = 44, 54, 14, 24
+#: Forward steps that are worked out at once, and the range of gaps up to which they are counted in a table.
+AHEAD, GAPS = 64, 1 << 14
 
 
 @dataclass
@@ -85,6 +87,15 @@ def wider_peek(days: np.ndarray, peek: int) -> int:
     return max(peek, int(np.floor(peek * 16.0 / (middle + 0.001) + 0.5)))
 
 
+def commonest(gaps: np.ndarray) -> int:
+    """The least of the commonest values."""
+    low = gaps.min()
+    if gaps.max() - low < GAPS:
+        return int(low + np.bincount(gaps - low).argmax())
+    values, counts = np.unique(gaps, return_counts=True)
+    return int(values[counts.argmax()])
+
+
 def variogram(days: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Median step by band, over the least lag whose commonest gap is over 30 days."""
     n = len(days)
@@ -93,8 +104,7 @@ def variogram(days: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.median(np.abs(np.diff(y, axis=1)), axis=1)
     for lag in range(1, n):
         gaps = days[lag:] - days[:-lag]
-        values, counts = np.unique(gaps, return_counts=True)
-        if values[counts.argmax()] > 30:
+        if commonest(gaps) > 30:
             far = gaps > 30
             out = np.median(np.abs(y[:, lag:] - y[:, :-lag])[:, far], axis=1)
             break
@@ -106,10 +116,19 @@ def change_magnitude(residuals: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return ((residuals[on] / norms[on, None]) ** 2).sum(0)
 
 
-def nearest_in_season(days: np.ndarray, day: int, count: int = 24) -> np.ndarray:
-    delta = (days - day).astype(float)
-    cycles = np.sign(delta) * np.floor(np.abs(delta) / SEASON_YEAR + 0.5)
-    return np.argsort(np.abs(cycles * SEASON_YEAR - delta), kind="stable")[:count]
+def nearest_in_season(days: np.ndarray, day: int | np.ndarray, count: int = 24) -> np.ndarray:
+    """Places of the nearest days; a row for each day where ``day`` is an array."""
+    delta = np.abs(days - np.asarray(day)[..., None]).astype(float)
+    return np.argsort(np.abs(np.floor(delta / SEASON_YEAR + 0.5) * SEASON_YEAR - delta), axis=-1, kind="stable")[..., :count]
+
+
+def sizes_ahead(ahead: np.ndarray, norms: np.ndarray, peek: int) -> np.ndarray:
+    """(steps, peek): the change magnitudes that each step looks at; ahead (bands, steps + peek - 1), norms (bands, steps)."""
+    seen = ahead[:, None] if ahead.shape[1] == peek else np.lib.stride_tricks.sliding_window_view(ahead, peek, axis=1)
+    on = norms > 0
+    if on.all():
+        return ((seen / norms[:, :, None]) ** 2).sum(0)
+    return np.where(on[:, :, None], (seen / np.where(on, norms, 1.0)[:, :, None]) ** 2, 0.0).sum(0)
 
 
 Ask = Generator[tuple, object, tuple[list[Segment], np.ndarray]]
@@ -132,6 +151,7 @@ def standard(s: Series, o: HarmonicOptions) -> Ask:
     if len(idx) <= o.min_obs:
         return [], np.zeros(0, bool)
     days, y = s.days[idx], s.bands[:, idx]
+    x = lasso.basis(days)
     early = int(np.searchsorted(days, o.stat_day, "right"))
     peek = wider_peek(days[:early], o.peek)
     vario = variogram(days[:early], y[:, :early])
@@ -144,9 +164,10 @@ def standard(s: Series, o: HarmonicOptions) -> Ask:
     a, b = 0, meow  # the window, in kept positions
 
     def drop(positions):
-        nonlocal idx, days, y
-        idx = np.delete(idx, positions)
-        days, y = s.days[idx], s.bands[:, idx]
+        nonlocal idx, days, y, x
+        stay = np.ones(len(idx), bool)
+        stay[positions] = False
+        idx, days, y, x = idx[stay], days[stay], y[:, stay], x[:, stay]
 
     while b <= len(idx) - meow:
         if out:
@@ -169,7 +190,7 @@ def standard(s: Series, o: HarmonicOptions) -> Ask:
                     continue
                 drop(a + np.flatnonzero(odd))
                 b -= n_odd
-            f = yield "fit", days[a:b], y[:, a:b], 4
+            f = yield "fit", days[a:b], y[:, a:b], 4, x[:, a:b]
             norm = np.maximum(vario, f.rmse)[det]
             with np.errstate(divide="ignore", invalid="ignore"):
                 drift = (np.abs(f.weights[det, 0] * (days[b - 1] - days[a])) + np.abs(f.residuals[det, 0]) + np.abs(f.residuals[det, -1])) / norm
@@ -185,7 +206,7 @@ def standard(s: Series, o: HarmonicOptions) -> Ask:
             back = np.arange(a - 1, low, -1)
             if not len(back):
                 break
-            r = np.abs(y[det][:, back] - f.predict(days[back])[det])
+            r = np.abs(y[:, back] - f.at(x[:, back]))[det]
             size = change_magnitude(r, np.maximum(vario, f.rmse)[det])
             if size.min() > o.change_threshold:
                 break
@@ -194,46 +215,57 @@ def standard(s: Series, o: HarmonicOptions) -> Ask:
                 b -= 1
             a -= 1
         if a - prev > peek and start:
-            g = yield "fit", days[prev:a], y[:, prev:a], 4
+            g = yield "fit", days[prev:a], y[:, prev:a], 4, x[:, prev:a]
             out.append(_caught(days, prev, a, START, g))
             start = False
         if b + peek > len(idx):
             break
-        # Forwards.
-        g, change, fa, fb, terms, p = None, 0, a, b, o.terms_min, b
+        # Forwards. What the steps up to the next fit look at is worked out for all of them at once: a dropped observation is
+        # the first that its step looks at, so later steps don't see it anyway.
+        g, change, fa, fb, terms, p, seen = None, 0, a, b, o.terms_min, b, None
         fit_span = days[b - 1] - days[a]
         while b + peek <= len(idx):
-            k = (b - a) // o.obs_per_term
-            terms = o.terms_min if k < o.terms_mid else o.terms_mid if k < o.terms_max else o.terms_max
-            p = b
-            if g is None or b - a < 24 or days[b - 1] - days[a] >= 1.33 * fit_span:
+            if g is None or b - a < 24 and b > fb or days[b - 1] - days[a] >= 1.33 * fit_span:
                 fa, fb, fit_span = a, b, days[b - 1] - days[a]
-                g = yield "fit", days[a:b], y[:, a:b], terms
-            ahead = np.abs(y[:, p : p + peek] - g.predict(days[p : p + peek]))
+                g = yield "fit", days[a:b], y[:, a:b], _terms(b - a, o), x[:, a:b]
+                spare = g.residuals[det]
             if b - a <= 24:
-                error = g.rmse[det]
+                steps, error = 1, g.rmse[det][:, None]
             else:
-                near = nearest_in_season(days[fa:fb], days[p + peek - 1])
-                error = np.sqrt((g.residuals[det][:, near] ** 2).sum(1)) / 4.0
-            size = change_magnitude(ahead[det], np.maximum(vario[det], error))
-            if size.min() > o.change_threshold:
-                change = 1
+                steps = min(int(np.searchsorted(days[b:] - days[a], 1.33 * fit_span)) + 1, len(idx) - peek + 1 - b, AHEAD)
+                near = nearest_in_season(days[fa:fb], days[b + peek - 1 : b + peek - 1 + steps])
+                error = np.sqrt((spare[:, near] ** 2).sum(2)) / 4.0
+            span = slice(b, b + steps + peek - 1)
+            ahead = np.abs(y[:, span] - g.at(x[:, span]))
+            sizes = sizes_ahead(ahead[det], np.maximum(vario[det][:, None], error), peek)
+            broken = (sizes.min(1) > o.change_threshold).nonzero()[0]
+            if len(broken):
+                change, steps = 1, int(broken[0])
+            last = steps if change else steps - 1
+            odd = (sizes[:steps, 0] > o.outlier_threshold).nonzero()[0]
+            p, seen = b + last - int(np.searchsorted(odd, last)), ahead[:, last : last + peek]
+            terms = _terms(p - a, o)
+            if len(odd):
+                drop(b + odd)
+            b += steps - len(odd)
+            if change:
                 break
-            if size[0] > o.outlier_threshold:
-                drop(p)
-                continue
-            b += 1
-        out.append(Segment(int(days[a]), int(days[b - 1]), int(days[p]), b - a, float(change), terms, g, np.median(ahead, axis=1)))
+        out.append(Segment(int(days[a]), int(days[b - 1]), int(days[p]), b - a, float(change), terms, g, np.median(seen, axis=1)))
         prev = b
         a, b = b, b + meow
     if prev + peek < len(idx):
-        g = yield "fit", days[prev:], y[:, prev:], 4
+        g = yield "fit", days[prev:], y[:, prev:], 4, x[:, prev:]
         out.append(_caught(days, prev, len(idx), END, g))
     mask = np.zeros(len(s.days), bool)
     mask[idx] = True
     return out, mask
 
 
+def _terms(count: int, o: HarmonicOptions) -> int:
+    k = count // o.obs_per_term
+    return o.terms_min if k < o.terms_mid else o.terms_mid if k < o.terms_max else o.terms_max
+
+
 def _caught(days: np.ndarray, a: int, b: int, code: int, f: lasso.Fit) -> Segment:
     return Segment(int(days[a]), int(days[b - 1]), int(days[b] if b < len(days) else days[-1]), b - a, 0.0, code, f, np.zeros(len(f.rmse)))
 

@@ -1,4 +1,4 @@
-"""Change detection over many pixels: one exchange by pixel, then an Arrow kernel over packed series."""
+"""Change detection over many pixels: one exchange by pixel, then an Arrow kernel over sorted rows or packed series."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,15 +15,19 @@ from terrapulse.options import BANDS, HarmonicOptions, LassoOptions, RobustOptio
 
 BAND_FIELDS = "struct<name:string,rmse:double,magnitude:double,intercept:double,coefficients:array<double>>"
 MODEL = f"struct<start_day:bigint,end_day:bigint,break_day:bigint,observation_count:int,change_probability:double,curve_qa:smallint,bands:array<{BAND_FIELDS}>>"
-#: Pixels whose coroutines run in step.
-STEP = 128
+#: Pixels whose coroutines run in step, and the observations that bound them for the worker's memory.
+STEP, OBSERVATIONS = 1024, 1 << 19
 
 
-def pack(obs: DataFrame, keys: tuple[str, ...] = ("pixel_id",)) -> DataFrame:
-    """keys, days, bands (seven arrays), qas: sorted by day, then input order. Null bands are NaN and null codes are fill."""
+def _fields() -> list[Column]:
+    """day, seq, seven bands, qa, which also is the order of a series. Null bands are NaN and null codes are fill."""
     one = [F.coalesce(F.col(b).cast("double"), F.lit(float("nan"))).alias(b) for b in BANDS]
-    row = F.struct(F.col("day").cast("long").alias("day"), F.col("seq").cast("long").alias("seq"), *one, F.coalesce(F.col("qa").cast("smallint"), F.lit(255).cast("smallint")).alias("qa"))
-    s = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    return [F.col("day").cast("long").alias("day"), F.col("seq").cast("long").alias("seq"), *one, F.coalesce(F.col("qa").cast("smallint"), F.lit(255).cast("smallint")).alias("qa")]
+
+
+def pack(obs: DataFrame, keys: tuple[str, ...] = ("pixel_id",)) -> DataFrame:
+    """keys, days, bands (seven arrays), qas: sorted by day, then input order."""
+    s = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_fields()))).alias("s"))
     return s.select(*keys, F.col("s.day").alias("days"), F.array(*(F.col(f"s.{b}") for b in BANDS)).alias("bands"), F.col("s.qa").alias("qas"))
 
 
@@ -43,44 +47,88 @@ def _series(batch: pa.RecordBatch) -> list[segments.Series]:
     return out
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most STEP pixels that have at most OBSERVATIONS observations together, or of one pixel."""
+    ends, i = np.cumsum(np.diff(batch["days"].offsets)), 0
+    while i < batch.num_rows:
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + OBSERVATIONS, "right"))
+        j = min(max(j, i + 1), i + STEP, batch.num_rows)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows of whole series, about STEP series or OBSERVATIONS rows at once, and where each series starts."""
+    held, rows, pixels = [], 0, 0
+    for b in batches:
+        held.append(b)
+        rows, pixels = rows + b.num_rows, pixels + b["starts"].true_count
+        if pixels > 1 and (pixels > STEP or rows >= OBSERVATIONS):
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = np.flatnonzero(t["starts"].to_numpy())
+            yield t.slice(0, at[-1]), at[:-1]
+            held, rows, pixels = t.slice(at[-1]).to_batches(), t.num_rows - int(at[-1]), 1
+    if rows:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.flatnonzero(t["starts"].to_numpy())
+
+
 def _model(s: segments.Segment) -> dict:
     bands = [{"name": b, "rmse": float(s.fit.rmse[k]), "magnitude": float(s.magnitude[k]), "intercept": float(s.fit.intercept[k]), "coefficients": s.fit.weights[k].tolist()} for k, b in enumerate(BANDS)]
     return {"start_day": s.start_day, "end_day": s.end_day, "break_day": s.break_day, "observation_count": s.count, "change_probability": s.probability, "curve_qa": s.curve_qa, "bands": bands}
 
 
+def _schema(df: DataFrame, keys: tuple[str, ...]) -> T.StructType:
+    return T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + T._parse_datatype_string(f"procedure string, models array<{MODEL}>, processing_mask array<tinyint>").fields)
+
+
+def _detected(keys: list, series: list[segments.Series], schema: T.StructType, o: HarmonicOptions, lo: LassoOptions, procedure: str | None) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    planned = [segments.plan(s, o, procedure) for s in series]
+    done = segments.run([p for _, p in planned], lo)
+    models = pa.array([[_model(m) for m in got] for got, _ in done], to_arrow_type(schema["models"].dataType))
+    masks = pa.array([mask.astype(np.int8) for _, mask in done], pa.list_(pa.int8()))
+    return pa.RecordBatch.from_arrays([*keys, pa.array([name for name, _ in planned]), models, masks], schema.names)
+
+
 def detect_packed(series: DataFrame, keys: tuple[str, ...] = ("pixel_id",), o: HarmonicOptions = HarmonicOptions(), lo: LassoOptions = LassoOptions(), procedure: str | None = None) -> DataFrame:
     """keys, procedure, models, processing_mask: one row a pixel.
 
     A pixel without enough observations has no models and an empty mask. Rows of other keys don't meet, so a caller's filter on
     keys belongs before this call.
     """
-    kinds = [series.schema[k].dataType for k in keys]
-    schema = T.StructType([T.StructField(k, t) for k, t in zip(keys, kinds)] + T._parse_datatype_string(f"procedure string, models array<{MODEL}>, processing_mask array<tinyint>").fields)
+    schema = _schema(series, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(schema["models"].dataType)
         for b in batches:
-            for i in range(0, b.num_rows, STEP):
-                part = b.slice(i, STEP)
-                planned = [segments.plan(s, o, procedure) for s in _series(part)]
-                done = segments.run([p for _, p in planned], lo)
-                models = pa.array([[_model(m) for m in got] for got, _ in done], kind)
-                masks = pa.array([mask.astype(np.int8) for _, mask in done], pa.list_(pa.int8()))
-                yield pa.RecordBatch.from_arrays([*(part[k] for k in keys), pa.array([name for name, _ in planned]), models, masks], schema.names)
+            for part in _parts(b):
+                yield _detected([part[k] for k in keys], _series(part), schema, o, lo, procedure)
 
     return series.select(*keys, "days", "bands", "qas").mapInArrow(run, schema)
 
 
-def detect_changes(obs: DataFrame, keys: tuple[str, ...] = ("pixel_id",), o: HarmonicOptions = HarmonicOptions(), lo: LassoOptions = LassoOptions(), partitions: int | None = None) -> DataFrame:
-    """Change models of long observations (keys, day, seq, seven bands, qa).
+def detect_changes(obs: DataFrame, keys: tuple[str, ...] = ("pixel_id",), o: HarmonicOptions = HarmonicOptions(), lo: LassoOptions = LassoOptions(), partitions: int | None = None, procedure: str | None = None) -> DataFrame:
+    """``detect_packed`` of long observations (keys, day, seq, seven bands, qa), which go to the kernel as sorted rows: arrays of series cost
+    the JVM more than the sort, and the sort spills.
 
     ``partitions`` sets the number of kernel tasks by pixel explicitly: adaptive coalescing goes by bytes, but the kernel's cost goes by pixels.
     """
     if partitions:
         obs = obs.repartition(partitions, *keys)
-    return detect_packed(pack(obs, keys), keys, o, lo)
+    schema = _schema(obs, keys)
+    own = [f"key{i}" for i in range(len(keys))]
+    rows = obs.select(*(F.col(k).alias(n) for k, n in zip(keys, own)), *_fields())
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("day", "seq", *BANDS, "qa"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _whole(batches):
+            days, qas = (t[c].to_numpy().astype(np.int64) for c in ("day", "qa"))
+            bands = np.stack([t[b].to_numpy() for b in BANDS])
+            series = [segments.Series(days[i:j], bands[:, i:j], qas[i:j]) for i, j in zip(at, [*at[1:], len(days)])]
+            yield _detected([t[n].take(at).combine_chunks() for n in own], series, schema, o, lo, procedure)
+
+    return rows.select(*own, "day", *BANDS, "qa", (place == 1).alias("starts")).mapInArrow(run, schema)
 
 
 def models(detected: DataFrame, keys: tuple[str, ...] = ("pixel_id",)) -> DataFrame:

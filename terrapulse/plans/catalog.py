@@ -508,7 +508,7 @@ def pixel_results(spark, sf_dir):
 
 def _single(name: str, oracle: str | None = None):
     def f(spark, sf_dir):
-        out = detection.models(detection.detect_packed(detection.pack(observations(spark, sf_dir)), procedure=name))
+        out = detection.models(detection.detect_changes(observations(spark, sf_dir), procedure=name))
         out = out.select("*", F.posexplode("bands").alias("band", "x")).drop("bands")
         fit = [(F.round(F.col("x.coefficients")[i], 4) + 0.0).alias(f"w{i}") for i in range(7)]
         fields = ("pixel_id", "procedure", "model_idx", "start_day", "end_day", "break_day", "observation_count", "change_probability", "curve_qa", "band")

@@ -181,3 +181,26 @@ def test_snow_routes_and_keeps_snow():
     name, coroutine = segments.plan(s, O)
     ((found, mask),) = segments.run([coroutine])
     assert name == "snow" and found[0].curve_qa == 54 and mask.sum() == 60
+
+
+def test_steps_forward_share_their_work(monkeypatch):
+    """Between two fits, distances within a year are worked out for many steps at once and predictions need no new basis."""
+    s, calls = synthetic(400), []
+    for module, name in ((segments, "nearest_in_season"), (lasso, "basis")):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, f=f, name=name: calls.append(name) or f(*a))
+    ((found, mask),) = segments.run([segments.plan(s, O)[1]])
+    assert found[0].count > 300 and 0 < calls.count("nearest_in_season") < 40 and calls.count("basis") == 1
+
+
+def test_outliers_ahead_are_dropped_one_after_another():
+    """Spikes alone and in a row ahead of a break: the result is that of the series without them."""
+    s = synthetic(260, step=200, seed=3)
+    spikes = [90, 91, 92, 120, 121, 150, 190]
+    s.bands[:6, spikes] += 5000
+    ((found, mask),) = segments.run([segments.plan(s, O)[1]])
+    stay = np.setdiff1d(np.arange(260), spikes)
+    ((want, _),) = segments.run([segments.plan(segments.Series(s.days[stay], s.bands[:, stay], s.qas[stay]), O)[1]])
+    assert not mask[spikes].any() and mask.sum() == len(stay)
+    assert [(m.start_day, m.end_day, m.break_day, m.count) for m in found] == [(m.start_day, m.end_day, m.break_day, m.count) for m in want]
+    assert found[0].break_day == s.days[200] and found[0].magnitude == pytest.approx(want[0].magnitude)

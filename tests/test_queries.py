@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,35 @@ def test_one_scan_and_one_exchange(spark, name):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
 
 
+@data
+@pytest.mark.parametrize("name", ["procedure_standard"])
+def test_detection_reads_sorted_rows(spark, name):
+    """No arrays of a series are made in the JVM, and the series are exchanged once."""
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+
+
+@data
+def test_rows_and_packed_series_give_the_same(spark):
+    obs = observations(spark, DATA).where("pixel_id < 6")
+    obs = obs.withColumn("part", F.when(F.col("seq") % 2 == 0, F.lit("even")))
+    keys = ("pixel_id", "part")
+    rows, packed = (sorted(d.collect(), key=str) for d in (detection.detect_changes(obs, keys, procedure="snow"), detection.detect_packed(detection.pack(obs, keys), keys, procedure="snow")))
+    assert rows == packed and len(rows) == 2 * obs.select("pixel_id").distinct().count() and any(r["models"] for r in rows)
+
+
+def test_series_are_put_together_whole(monkeypatch):
+    monkeypatch.setattr(detection, "STEP", 3)
+    monkeypatch.setattr(detection, "OBSERVATIONS", 20)
+    keys = np.repeat(np.arange(9), [1, 2, 50, 3, 1, 1, 1, 1, 7])
+    t = pa.table({"k": keys, "starts": np.diff(keys, prepend=-1) > 0})
+    for size in (1, 4, 100):
+        got = [(p["k"].to_pylist(), at.tolist()) for p, at in detection._whole(iter(t.to_batches(size)))]
+        assert sum((k for k, _ in got), []) == keys.tolist()
+        assert all(at == [i for i, x in enumerate(k) if not i or x != k[i - 1]] for k, at in got)
+        assert not any(set(a) & set(b) for (a, _), (b, _) in zip(got, got[1:])) and len(got) > 1
+
+
 @golden
 def test_csv_to_wide_csv(spark, tmp_path):
     obs = files.read_observations(spark, GOLDEN["observations"])
