@@ -92,7 +92,7 @@ def test_one_scan_and_one_exchange(spark, name):
 
 
 @data
-@pytest.mark.parametrize("name", ["procedure_standard"])
+@pytest.mark.parametrize("name", ["procedure_standard", "pixel_results", "change_models", "wide_models"])
 def test_detection_reads_sorted_rows(spark, name):
     """No arrays of a series are made in the JVM, and the series are exchanged once."""
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
